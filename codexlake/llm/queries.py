@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from codexlake.llm import cross_split, lookalikes
+from codexlake.llm import cross_split, grouped_split, lookalikes
 
 QUERIES = {
     "p2_found": lookalikes.p2_found,
     "p2_line_forms": lookalikes.p2_line_forms,
     "p4_found": cross_split.p4_found,
+    "p5_found": grouped_split.p5_found,
+    "p5_assignment": grouped_split.p5_assignment,
+    "p5_split_report": grouped_split.p5_split_report,
 }
 
 ORACLES: dict[str, str] = {}
