@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from codexlake.llm import cross_split, grouped_split, lookalikes
+from codexlake.llm import cross_split, grouped_split, lookalikes, privacy
 
 QUERIES = {
     "p2_found": lookalikes.p2_found,
     "p2_line_forms": lookalikes.p2_line_forms,
+    "p3_found": privacy.p3_found,
+    "p3_redacted": privacy.p3_redacted,
     "p4_found": cross_split.p4_found,
     "p5_found": grouped_split.p5_found,
     "p5_assignment": grouped_split.p5_assignment,
