@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codexlake.llm import cross_split, grouped_split, lookalikes, privacy
+from codexlake.llm import cross_split, grouped_split, lookalikes, privacy, sentences
 
 QUERIES = {
     "p2_found": lookalikes.p2_found,
@@ -13,6 +13,7 @@ QUERIES = {
     "p5_found": grouped_split.p5_found,
     "p5_assignment": grouped_split.p5_assignment,
     "p5_split_report": grouped_split.p5_split_report,
+    "p9_found": sentences.p9_found,
 }
 
 ORACLES: dict[str, str] = {}
