@@ -25,12 +25,19 @@ from codexlake.runtime import table
 GRAM = 5
 #: A window is two cells of this many letters; windows overlap by one cell.
 CELL = 120
-RANK = 128
+RANK = 96
 OVERSAMPLE = 16
 POWER_ROUNDS = 3
 #: Least latent cosine of a candidate window, and least share of the passage that makes a leak.
-MIN_COSINE = 0.12
+MIN_COSINE = 0.05
 MIN_SHARE = 0.5
+#: N-grams of more passages than this are stock phrases and no features, unless a passage would lose half of its own.
+MAX_ITEMS = 2
+#: Share of half a passage's n-grams that must match near one offset before subsequences are compared: with a
+#: tenth of the letters wrong, 0.9**GRAM = 59 % still match.
+MIN_DENSITY = 0.4
+#: Features that a window needs: half of a passage of 250 letters, half of its n-grams features, 59 % of them intact.
+MIN_FEATURES = 30
 #: Letters that may be missing or strange between two matches in one place, and drift of their offset.
 GAP, DRIFT = 30, 24
 #: Letters handled at once; longer documents go piece by piece with an overlap longer than any passage.
@@ -86,9 +93,16 @@ class Passages:
         kept = [(i, x) for i, t in zip(ids, texts, strict=True) if len(x := letters_of(t)) >= 2 * GRAM]
         self.ids = np.array([i for i, _ in kept], dtype=np.int64)
         self.letters = [x for _, x in kept]
-        grams = [grams_of(x) for x in self.letters]
-        self.vocabulary = np.unique(np.concatenate(grams)) if grams else np.zeros(0, dtype=np.uint64)
-        self.terms = [np.searchsorted(self.vocabulary, g) for g in grams]
+        self.grams = [grams_of(x) for x in self.letters]
+        own = [np.unique(g) for g in self.grams]
+        terms, items = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        kept = items <= MAX_ITEMS
+        for g in own:
+            at = np.searchsorted(terms, g)
+            if kept[at].sum() < len(at) / 2:
+                kept[at[np.argsort(items[at], kind="stable")[: -(-len(at) // 2)]]] = True
+        self.vocabulary = terms[kept]
+        self.terms = [np.searchsorted(self.vocabulary, g[np.isin(g, self.vocabulary)]) for g in self.grams]
         self.seen = np.zeros(1 << _BITS, dtype=bool)
         self.seen[(self.vocabulary >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -211,7 +225,7 @@ def share_in_one_place(passage: np.ndarray, order: np.ndarray, keys: np.ndarray,
     density = np.searchsorted(by_offset, by_offset + DRIFT, side="right") - np.arange(len(by_offset))
     for at in np.argsort(-density, kind="stable"):
         low = by_offset[at]
-        if density[at] * GRAM < MIN_SHARE * len(passage) * 0.5 or len(tried) >= 64:
+        if density[at] < MIN_DENSITY * MIN_SHARE * len(passage):
             break
         if any(abs(low - t) <= DRIFT // 2 for t in tried):
             continue
@@ -258,9 +272,9 @@ def leaked_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -
             loads[t] += w.astype(np.float32)[:, None] * x
         loads *= idf.astype(np.float32)[:, None]
         square = (idf * idf).astype(np.float64)
-        sorted_ = [(np.argsort(known.vocabulary[t], kind="stable"), np.sort(known.vocabulary[t])) for t in known.terms]
+        sorted_ = [(np.argsort(g, kind="stable"), np.sort(g)) for g in known.grams]
         for batch in batches:
-            found: list[tuple] = []
+            rows: list[tuple] = []
             names = batch["doc_id"].to_numpy()
             for letters, owner, bounds in _pieces(list(batch["text"]), overlap):
                 grams = grams_of(letters)
@@ -273,7 +287,12 @@ def leaked_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -
                 first = np.concatenate([[0], np.cumsum(cells_of)])
                 cell = first[piece] + (at - bounds[piece]) // CELL
                 n_cells = int(first[-1])
-                if not len(at):
+                held = np.bincount(cell, minlength=n_cells)
+                busy = np.flatnonzero(held[:-1] + held[1:] >= MIN_FEATURES)
+                wanted = np.zeros(n_cells + 1, dtype=bool)
+                wanted[busy] = wanted[busy + 1] = True
+                term, cell = term[wanted[cell]], cell[wanted[cell]]
+                if not len(cell):
                     continue
                 used, begin = np.unique(cell, return_index=True)
                 sums = np.zeros((n_cells, left.shape[1]), dtype=np.float32)
@@ -281,23 +300,23 @@ def leaked_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -
                     a, b = begin[s], begin[s + 2048] if s + 2048 < len(used) else len(cell)
                     sums[used[s : s + 2048]] = np.add.reduceat(loads[term[a:b]], begin[s : s + 2048] - a, axis=0)
                 mass = np.bincount(cell, weights=square[term], minlength=n_cells)
-                held = np.bincount(cell, minlength=n_cells)
                 mass += np.maximum(0, CELL - held) * strange**2
                 window = sums[:-1] + sums[1:]
                 norm = np.sqrt(mass[:-1] + mass[1:])
-                busy = np.flatnonzero(held[:-1] + held[1:] >= 2 * GRAM)
+                found = []
                 for s in range(0, len(busy), 4096):
                     w = busy[s : s + 4096]
                     cosine = (window[w] @ latent.T) / norm[w, None]
-                    for x, item in np.argwhere(cosine >= MIN_COSINE):
-                        found.append((np.searchsorted(first, w[x], side="right") - 1, item))
-                for p, item in sorted(set(found)):
+                    x, item = np.nonzero(cosine >= MIN_COSINE)
+                    found.append((np.searchsorted(first, w[x], side="right") - 1) * len(known.ids) + item)
+                for code in np.unique(np.concatenate(found)) if found else ():
+                    p, item = divmod(int(code), len(known.ids))
                     a, b = bounds[p], bounds[p + 1]
                     order, keys = sorted_[item]
                     share = share_in_one_place(known.letters[item], order, keys, letters[a:b], grams[a : max(a, b - GRAM + 1)])
                     if share >= MIN_SHARE:
-                        yield pd.DataFrame({"doc_id": [names[owner[p]]], "item_id": [known.ids[item]], "share": [share]})
-                found = []
+                        rows.append((names[owner[p]], known.ids[item], share))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share"])
 
     if not len(known.ids):
         return read.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("share")).where(F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codexlake.llm import cross_split, grouped_split, lookalikes, privacy, sentences
+from codexlake.llm import cross_split, grouped_split, leaks, lookalikes, mixing, privacy, sentences
 
 QUERIES = {
     "p2_found": lookalikes.p2_found,
@@ -13,6 +13,9 @@ QUERIES = {
     "p5_found": grouped_split.p5_found,
     "p5_assignment": grouped_split.p5_assignment,
     "p5_split_report": grouped_split.p5_split_report,
+    "p7_found": leaks.p7_found,
+    "p8_mixture": mixing.p8_mixture,
+    "p8_shares": mixing.p8_shares,
     "p9_found": sentences.p9_found,
 }
 
