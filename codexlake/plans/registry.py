@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from codexlake.plans import corpus, evaluation, layout, nested_pages, operations, page_history  # noqa: F401
+from codexlake.plans.catalog import ORACLES, QUERIES, query
 
-from pyspark.sql import DataFrame, SparkSession
+query()(page_history.p1_found)
+query()(nested_pages.p6_found)
+query()(nested_pages.p6_regions)
+query(nested_pages.P6_LINE_POINTS_SQL)(nested_pages.p6_line_points)
+query()(nested_pages.p6_history_points)
 
-from codexlake.plans import nested_pages, page_history
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {
-    "p1_found": page_history.p1_found,
-    "p6_found": nested_pages.p6_found,
-    "p6_regions": nested_pages.p6_regions,
-    "p6_line_points": nested_pages.p6_line_points,
-    "p6_history_points": nested_pages.p6_history_points,
-}
-
-ORACLES: dict[str, str] = {
-    "p6_line_points": nested_pages.P6_LINE_POINTS_SQL,
-}
+__all__ = ["ORACLES", "QUERIES"]
