@@ -1,6 +1,6 @@
 """The same or nearly the same record in different splits: segmented bit fingerprints, then verification.
 
-Each text's letter skeleton gets (a) a 64-bit SimHash of its letter trigrams and (b) code blocks of a second
+Each text's letter skeleton gets (a) a 128-bit SimHash of its letter trigrams and (b) code blocks of a second
 fingerprint whose segments are cut at content-defined places, so that one wrong, missing or added letter
 changes the one or two blocks around it and leaves the rest.  Keys are ordered pairs of blocks that stand near each other; texts of
 different splits that share a key, lie within the Hamming radius and have their blocks at like places are
@@ -22,8 +22,8 @@ from codexlake.runtime import durable, table
 
 MIN_LETTERS = 20
 MAX_CHANGED = 0.1
-#: Hamming radius of the 64-bit SimHash; a tenth of the letters changed moves about 16 bits.
-RADIUS = 27
+#: Hamming radius of the 128-bit SimHash; a tenth of the letters changed moves about 32 bits, give or take 5.
+RADIUS = 44
 #: Half-widths of the windows in which a trigram hash must be least to end a segment.
 WIDE, NARROW, NARROW_BELOW = 3, 2, 44
 #: Pairs of segments are formed up to this distance, so keys grow in proportion to a text's length.
@@ -44,12 +44,12 @@ def _inverse(x: int) -> int:
 
 
 def fingerprints(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """SimHash of each text, and for each text its keys with the places of the two blocks behind each key."""
+    """SimHash of each text (two words of 64 bits), and for each text its keys with the places of the two blocks behind each key."""
     n = np.array([len(t) for t in texts], dtype=np.int64)
     empty = np.zeros(0, dtype=np.int64)
     keys, first, second = ([empty] * len(texts) for _ in range(3))
     if not n.sum():
-        return np.zeros(len(texts), dtype=np.int64), keys, first, second
+        return np.zeros((len(texts), 2), dtype=np.int64), keys, first, second
     letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     row = np.repeat(np.arange(len(texts)), n)
     start = np.concatenate([[0], np.cumsum(n)])
@@ -60,14 +60,14 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[n
     at = np.flatnonzero(inside)
     grams[at] = _mix(mixed[at] * _M1 + mixed[at + 1] * _M2 + mixed[at + 2] * _M3)
 
-    bits = np.unpackbits(grams[at].view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.zeros((len(texts), 64), dtype=np.int64)
     counts = np.bincount(row[at], minlength=len(texts))
-    if len(at):
-        cuts = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        full = counts > 0
-        ones[full] = np.add.reduceat(bits, cuts[full], axis=0, dtype=np.int64)
-    simhash = np.packbits(ones * 2 > counts[:, None], axis=1).view(np.uint64).ravel().view(np.int64)
+    full = counts > 0
+    cuts = np.concatenate([[0], np.cumsum(counts)])[:-1][full]
+    simhash = np.zeros((len(texts), 2), dtype=np.int64)
+    for half, hashes in enumerate((grams[at], _mix(grams[at] + _M1)) if len(at) else ()):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+        simhash[full, half] = np.packbits(ones * 2 > counts[full, None], axis=1).view(np.uint64).ravel().view(np.int64)
 
     power = np.empty(int(n.max()) + 1, dtype=np.uint64)
     back = np.empty_like(power)
@@ -133,7 +133,7 @@ def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), 2000):
             part = batch.iloc[at : at + 2000]
             simhash, keys, first, second = fingerprints(list(part["skeleton"]))
-            yield pd.DataFrame({"text_id": part["text_id"].values, "in_train": part["in_train"].values, "in_eval": part["in_eval"].values, "n": part["n"].values, "simhash": simhash, "keys": keys, "first": first, "second": second})
+            yield pd.DataFrame({"text_id": part["text_id"].values, "in_train": part["in_train"].values, "in_eval": part["in_eval"].values, "n": part["n"].values, "sim1": simhash[:, 0], "sim2": simhash[:, 1], "keys": keys, "first": first, "second": second})
 
 
 def near_links(texts: DataFrame) -> DataFrame:
@@ -143,13 +143,13 @@ def near_links(texts: DataFrame) -> DataFrame:
     groups of copies, however large, count once.
     """
     sized = texts.withColumn("n", F.length("skeleton"))
-    prints = durable(sized.mapInPandas(_prints, "text_id bigint, in_train boolean, in_eval boolean, n int, simhash bigint, keys array<bigint>, first array<bigint>, second array<bigint>"))
-    spread = prints.select("text_id", "in_train", "in_eval", "n", "simhash", F.explode(F.arrays_zip("keys", "first", "second")).alias("k")).select("text_id", "in_train", "in_eval", "n", "simhash", F.col("k.keys").alias("key"), F.col("k.first").cast("int").alias("p"), F.col("k.second").cast("int").alias("q"))
-    t = spread.where("in_train").select("key", *[F.col(c).alias(f"t_{c}") for c in ("text_id", "n", "simhash", "p", "q")])
-    e = spread.where("in_eval").select("key", *[F.col(c).alias(f"e_{c}") for c in ("text_id", "n", "simhash", "p", "q")])
+    prints = durable(sized.mapInPandas(_prints, "text_id bigint, in_train boolean, in_eval boolean, n int, sim1 bigint, sim2 bigint, keys array<bigint>, first array<bigint>, second array<bigint>"))
+    spread = prints.select("text_id", "in_train", "in_eval", "n", "sim1", "sim2", F.explode(F.arrays_zip("keys", "first", "second")).alias("k")).select("text_id", "in_train", "in_eval", "n", "sim1", "sim2", F.col("k.keys").alias("key"), F.col("k.first").cast("int").alias("p"), F.col("k.second").cast("int").alias("q"))
+    t = spread.where("in_train").select("key", *[F.col(c).alias(f"t_{c}") for c in ("text_id", "n", "sim1", "sim2", "p", "q")])
+    e = spread.where("in_eval").select("key", *[F.col(c).alias(f"e_{c}") for c in ("text_id", "n", "sim1", "sim2", "p", "q")])
     most = F.floor(F.greatest("t_n", "e_n") * MAX_CHANGED)
     near = (F.abs(F.col("t_n") - F.col("e_n")) <= most) & (F.abs(F.col("t_p") - F.col("e_p")) <= most) & (F.abs(F.col("t_q") - F.col("e_q")) <= most)
-    alike = F.bit_count(F.col("t_simhash").bitwiseXOR(F.col("e_simhash"))) <= RADIUS
+    alike = F.bit_count(F.col("t_sim1").bitwiseXOR(F.col("e_sim1"))) + F.bit_count(F.col("t_sim2").bitwiseXOR(F.col("e_sim2"))) <= RADIUS
     candidates = t.join(e, (t["key"] == e["key"]) & near & alike & (F.col("t_text_id") != F.col("e_text_id"))).select("t_text_id", "e_text_id").distinct()
     words = texts.select("text_id", "skeleton")
     held = candidates.join(words.select(F.col("text_id").alias("t_text_id"), F.col("skeleton").alias("a")), "t_text_id").join(words.select(F.col("text_id").alias("e_text_id"), F.col("skeleton").alias("b")), "e_text_id")
