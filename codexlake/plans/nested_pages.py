@@ -55,3 +55,21 @@ P6_LINE_POINTS_SQL = """
 SELECT DISTINCT record_id, CAST(i - 1 AS INTEGER) AS position, polygon[i][1] AS x, polygon[i][2] AS y
 FROM (SELECT line_id AS record_id, polygon, unnest(range(1, len(polygon) + 1)) AS i FROM release_lines WHERE line_id IS NOT NULL)
 """
+
+
+def page_xml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of PAGE XML with their region, position, first text and outline; null where they are missing."""
+    elements = page_elements(table(spark, sf_dir, "page_xml_bundles"), {"TextLine", "Coords", "Unicode"})
+    f = F.col("fields")
+    inner = elements.where("table_name <> 'TextLine'").groupBy("record_id", F.col("ancestors")["TextLine"].alias("line_id"), F.col("ancestors")["TextRegion"].alias("region_id"))
+    inner = inner.agg(F.min_by(f["@points"], F.when(F.col("parent_table") == "TextLine", F.col("row_id"))).alias("coords"), F.min_by(f["#text"], F.when(F.col("table_name") == "Unicode", F.col("row_id"))).alias("text"))
+    lines = elements.where("table_name = 'TextLine'").select("record_id", f["@id"].alias("line_id"), F.col("ancestors")["TextRegion"].alias("region_id"), "position", f["@custom"].alias("custom"))
+    source = F.when(F.col("custom").contains("source:manual"), "manual").when(F.col("custom").contains("source:kraken"), "kraken").otherwise("unknown")
+    return lines.join(inner, ["record_id", "line_id", "region_id"], "left").select("record_id", "line_id", "region_id", "position", source.alias("provenance"), "coords", "text").distinct()
+
+
+def page_xml_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in each page against the counts that came with it, where they differ."""
+    found = page_elements(table(spark, sf_dir, "page_xml_bundles"), {"TextLine"}).groupBy("record_id").agg(F.countDistinct("row_id").alias("found"))
+    declared = table(spark, sf_dir, "page_xml_bundles").where("line_counts IS NOT NULL").groupBy(F.col("stem").alias("record_id")).agg(F.max("line_counts.total").cast("bigint").alias("declared"))
+    return declared.join(found, "record_id").where("found <> declared").select("record_id", "found", "declared")
