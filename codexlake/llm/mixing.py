@@ -107,6 +107,7 @@ def mix(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     misses its quota by less than one document.  Null sources, shares and sizes count as absent; empty tables
     give an empty mixture.
     """
+    tokens = tokens.select("doc_id", "source", "n_tokens").where("doc_id IS NOT NULL AND source IS NOT NULL AND n_tokens > 0")
     aims: dict[str, tuple[float, int]] = {}
     for r in targets.where("source IS NOT NULL AND target_share > 0").select("source", "target_share", "max_repeats").distinct().orderBy("source").limit(MAX_FRAME + 1).collect():
         if r.source in aims:
