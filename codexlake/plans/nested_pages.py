@@ -10,7 +10,7 @@ from codexlake.runtime import table
 
 
 def _shredded(docs: DataFrame, key: str, text: str, kind: str, keep: set[str] | None) -> DataFrame:
-    return shred(docs, key, text, kind, tables_of(schema_graph(docs, text, kind)), keep)
+    return shred(docs, key, text, kind, tables_of(schema_graph(docs, text, kind)) | (keep or set()), keep)
 
 
 def history_lines(snapshots: DataFrame) -> DataFrame:
