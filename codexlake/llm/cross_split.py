@@ -181,3 +181,16 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cross_split_pairs(table(spark, sf_dir, "import_rows"))
     return pairs.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b")).distinct()
+
+
+def p4_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap per held-out split and source (the codex in the image reference): pairs, and rows that have any.
+
+    Rows whose reference names no known manuscript count under a null source.
+    """
+    from codexlake.llm.grouped_split import codex_of_rows  # that module reads splits by this one
+
+    rows = table(spark, sf_dir, "import_rows")
+    source = codex_of_rows(rows, table(spark, sf_dir, "release_lines")).select(F.col("row_id").alias("eval_row"), F.col("codex").alias("source"))
+    pairs = cross_split_pairs(rows).groupBy("eval_row", "eval_split").agg(F.count(F.lit(1)).alias("pairs"), F.max("same").alias("same"))
+    return pairs.join(source, "eval_row", "left").groupBy("eval_split", "source").agg(F.sum("pairs").alias("n_pairs"), F.count(F.lit(1)).alias("n_rows"), F.count_if("same").alias("n_same_text"))

@@ -10,6 +10,7 @@ QUERIES = {
     "p3_found": privacy.p3_found,
     "p3_redacted": privacy.p3_redacted,
     "p4_found": cross_split.p4_found,
+    "p4_overlap": cross_split.p4_overlap,
     "p5_found": grouped_split.p5_found,
     "p5_assignment": grouped_split.p5_assignment,
     "p5_split_report": grouped_split.p5_split_report,
