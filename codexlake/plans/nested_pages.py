@@ -73,3 +73,13 @@ def page_xml_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = page_elements(table(spark, sf_dir, "page_xml_bundles"), {"TextLine"}).groupBy("record_id").agg(F.countDistinct("row_id").alias("found"))
     declared = table(spark, sf_dir, "page_xml_bundles").where("line_counts IS NOT NULL").groupBy(F.col("stem").alias("record_id")).agg(F.max("line_counts.total").cast("bigint").alias("declared"))
     return declared.join(found, "record_id").where("found <> declared").select("record_id", "found", "declared")
+
+
+def p6_xml_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the outlines of regions and lines in PAGE XML, linked to what they outline."""
+    rows = page_elements(table(spark, sf_dir, "page_xml_bundles"), {"Coords"})
+    at = F.posexplode(F.split(F.trim(F.col("fields")["@points"]), " +")).alias("position", "p")
+    parent = F.element_at("ancestors", F.col("parent_table")).alias("parent_id")
+    points = rows.where("parent_table IN ('TextLine', 'TextRegion')").select("record_id", "parent_table", parent, at)
+    xy = F.split("p", ",")
+    return points.select("record_id", "parent_table", "parent_id", "position", F.get(xy, F.lit(0)).try_cast("double").alias("x"), F.get(xy, F.lit(1)).try_cast("double").alias("y")).distinct()
