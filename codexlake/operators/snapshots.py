@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexlake.runtime import durable
+
 #: Each level of the tree has 2**FANOUT_BITS children a node.
 FANOUT_BITS = 4
 
@@ -53,7 +55,7 @@ def merkle_diff(rows: DataFrame, versions: DataFrame, group: Sequence[str], vers
     snapshot of a group gives nothing; empty tables give an empty result; extra columns are ignored.
     """
     g = list(group)
-    one = (
+    one = durable(
         rows.where(F.col(key).isNotNull())
         .groupBy(*g, version, F.col(key).alias("__key"))
         .agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.coalesce(F.col(digest), F.lit("null"))))), 256).alias("__digest"))
@@ -63,7 +65,7 @@ def merkle_diff(rows: DataFrame, versions: DataFrame, group: Sequence[str], vers
 
     # From the leaves up: one table of digests a level.
     level = one.groupBy(*g, version, "leaf").agg(F.sum("n").alias("n"), F.expr("bit_xor(xxhash64(__key, __digest))").alias("h1"), F.expr("bit_xor(xxhash64(__digest, n, __key))").alias("h2")).withColumnRenamed("leaf", "node")
-    tree = {levels: level}
+    tree = {levels: durable(level)}
     for depth in range(levels - 1, -1, -1):
         below = tree[depth + 1]
         tree[depth] = below.withColumn("up", F.shiftrightunsigned("node", FANOUT_BITS)).groupBy(*g, version, "up").agg(*_children_digest()).withColumnRenamed("up", "node")
