@@ -151,8 +151,18 @@ def page_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents WHERE lang IN ('hy', 'syc', 'cop', 'fr')) WHERE ch <> '' GROUP BY 1, 2")
 def charset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of some languages with their counts, pre-aggregated before the shuffle."""
-    d = table(spark, sf_dir, "documents").where(F.col("lang").isin("hy", "syc", "cop", "fr"))
+    """The four languages of ``charset_whole`` that its SQL covers."""
+    return _charset(table(spark, sf_dir, "documents").where(F.col("lang").isin("hy", "syc", "cop", "fr")))
+
+
+@query()
+def charset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of every language, as spelled or null, with their counts."""
+    return _charset(table(spark, sf_dir, "documents"))
+
+
+def _charset(d: DataFrame) -> DataFrame:
+    """Pre-aggregated before the shuffle."""
     return d.select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("lang", "ch").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -219,8 +229,17 @@ def label_join_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS line_order FROM (SELECT doc_id, i, trim(l[i], chr(32) || chr(9) || chr(13)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE source = 'glossary')) WHERE line <> ''
 """)
 def imported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's text as its non-empty trimmed lines, in order."""
-    d = table(spark, sf_dir, "documents").where("source = 'glossary'")
+    """The one source of ``imported_lines_whole`` that its SQL covers."""
+    return _imported_lines(table(spark, sf_dir, "documents").where("source = 'glossary'"))
+
+
+@query()
+def imported_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's text as its non-empty trimmed lines, in order."""
+    return _imported_lines(table(spark, sf_dir, "documents"))
+
+
+def _imported_lines(d: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")), lambda x: x != "")
     return d.select("doc_id", F.posexplode(lines).alias("p", "line")).select("doc_id", "line", F.col("p").cast("bigint").alias("line_order"))
 
@@ -245,7 +264,17 @@ def prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, copy FROM (SELECT doc_id, unnest(generate_series(1, CASE WHEN source = 'acts' THEN 3 ELSE 1 END)) AS copy FROM documents WHERE source IN ('acts', 'lectionary'))")
 def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("source").isin("acts", "lectionary"))
+    """The two sources of ``oversample_whole`` that its SQL covers."""
+    return _oversample(table(spark, sf_dir, "documents").where(F.col("source").isin("acts", "lectionary")))
+
+
+@query()
+def oversample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole mix, null sources too, with the chosen source repeated."""
+    return _oversample(table(spark, sf_dir, "documents"))
+
+
+def _oversample(d: DataFrame) -> DataFrame:
     times = F.when(F.col("source") == "acts", 3).otherwise(1)
     return d.select("doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), times.cast("bigint"))).alias("copy"))
 
