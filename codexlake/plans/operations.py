@@ -131,7 +131,18 @@ SELECT strftime(c.day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type = '
 FROM c LEFT JOIN f ON f.day = CAST(c.day AS DATE) GROUP BY 1
 """)
 def activity_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error") & (F.col("user_id") < 20)).select(F.to_date("ts").alias("day"), "event_type")
+    """The users of ``activity_zero_filled_whole`` that its SQL covers."""
+    return _activity(table(spark, sf_dir, "events").where("user_id < 20"))
+
+
+@query()
+def activity_zero_filled_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups and errors of all users on each day from the first to the last."""
+    return _activity(table(spark, sf_dir, "events"))
+
+
+def _activity(events: DataFrame) -> DataFrame:
+    f = events.where(F.col("event_type").isin("signup", "error")).select(F.to_date("ts").alias("day"), "event_type")
     return zero_filled(f, "day", {"signups": F.col("event_type") == "signup", "errors": F.col("event_type") == "error"}).withColumn("day", F.col("day").cast("string"))
 
 
@@ -309,9 +320,21 @@ def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority || ' new' END, o_orderpriority) AS label, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0
 """)
 def bulk_replace_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bulk replace: absent fields keep their value, absent rows are deleted."""
-    base = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("price"))
-    updates = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.concat("o_orderpriority", F.lit(" new"))).alias("label"), F.lit(None).cast("double").alias("price"))
+    """The updates of ``bulk_replace_overlay_whole`` as its SQL picks them."""
+    orders = table(spark, sf_dir, "orders")
+    return _bulk_replace(orders, orders.where("o_orderkey % 3 <> 0"))
+
+
+@query()
+def bulk_replace_overlay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk replace from the pages that still have lines: absent fields keep their value, pages without lines are deleted."""
+    orders = table(spark, sf_dir, "orders")
+    return _bulk_replace(orders, orders.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi"))
+
+
+def _bulk_replace(orders: DataFrame, sent: DataFrame) -> DataFrame:
+    base = orders.select("o_orderkey", F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("price"))
+    updates = sent.select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.concat("o_orderpriority", F.lit(" new"))).alias("label"), F.lit(None).cast("double").alias("price"))
     return overlay(base, updates, ["o_orderkey"], ["label", "price"])
 
 
