@@ -172,8 +172,17 @@ SELECT message_class, n FROM (SELECT left(regexp_replace(message, '[0-9]+', 'N',
 ORDER BY n DESC, message_class LIMIT 5
 """)
 def top_failure_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five commonest messages, numbers aside (a top 5 by nature)."""
-    f = table(spark, sf_dir, "feedback").where(F.col("message").rlike(r"^[\x20-\x7e]*$"))
+    """The messages of ``top_failure_messages_whole`` that its SQL covers: printable ASCII."""
+    return _top_messages(table(spark, sf_dir, "feedback").where(F.col("message").rlike(r"^[\x20-\x7e]*$")))
+
+
+@query()
+def top_failure_messages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five commonest messages of any alphabet, numbers aside (a top 5 by nature); classes are cut by code point."""
+    return _top_messages(table(spark, sf_dir, "feedback").where("message IS NOT NULL"))
+
+
+def _top_messages(f: DataFrame) -> DataFrame:
     return f.groupBy(F.left(F.regexp_replace("message", "[0-9]+", "N"), F.lit(80)).alias("message_class")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "message_class").limit(5)
 
 

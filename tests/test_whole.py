@@ -40,3 +40,10 @@ def test_overlay_deletes_by_lines_not_by_key(spark, tmp_path):
     spark.createDataFrame([(3, "F", "low", 1.0), (6, "O", "low", 2.0), (7, "O", "high", 3.0)], "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(3,), (6,), (6,)], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert found(spark, tmp_path, "bulk_replace_overlay_whole") == Counter([(3, "low", 1.0), (6, "low new", 2.0)])
+
+
+def test_messages_of_any_alphabet(spark, tmp_path):
+    texts = ["Σελίδα 12 \u2013 κενή"] * 5 + ["Σελίδα 7 \u2013 κενή"] * 4 + ["𐆊" * 81 + "a"] * 4 + ["𐆊" * 80 + "b"] * 4 + ["two\nlines 1"] * 7 + ["plain 9"] * 6 + ["è"] * 5 + ["rare"] * 4 + [None] * 20
+    spark.createDataFrame([(x,) for x in texts], "message string").write.parquet(f"{tmp_path}/feedback.parquet")
+    out = [tuple(r) for r in registry.QUERIES["top_failure_messages_whole"](spark, str(tmp_path)).collect()]
+    assert out == [("Σελίδα N \u2013 κενή", 9), ("𐆊" * 80, 8), ("two\nlines N", 7), ("plain N", 6), ("è", 5)]
