@@ -28,7 +28,8 @@ CELL = 120
 RANK = 96
 OVERSAMPLE = 16
 POWER_ROUNDS = 3
-#: Least latent cosine of a candidate window, and least share of the passage that makes a leak.
+#: Largest latent cosine that may be asked of a candidate window, see ``least_cosines``, and least share of the
+#: passage that makes a leak.
 MIN_COSINE = 0.05
 MIN_SHARE = 0.5
 #: N-grams of more passages than this are stock phrases and no features, unless a passage would lose half of its own.
@@ -36,7 +37,8 @@ MAX_ITEMS = 2
 #: Share of half a passage's n-grams that must match near one offset before subsequences are compared: with a
 #: tenth of the letters wrong, 0.9**GRAM = 59 % still match.
 MIN_DENSITY = 0.4
-#: Features that a window needs: half of a passage of 250 letters, half of its n-grams features, 59 % of them intact.
+#: Largest number of features that may be asked of a window: half of a passage of 250 letters, half of its n-grams
+#: features, 59 % of them intact.
 MIN_FEATURES = 30
 #: Letters that may be missing or strange between two matches in one place, and drift of their offset.
 GAP, DRIFT = 30, 24
@@ -193,6 +195,31 @@ def randomised_svd(rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank:
     return left / singular, left * singular
 
 
+def least_cosines(passages: Passages, loads: np.ndarray, latent: np.ndarray, square: np.ndarray, strange: float) -> tuple[np.ndarray, int]:
+    """Latent cosine asked of a window for each passage, and number of features asked of any window.
+
+    Both are what the worst placed half of a passage still reaches in its best window, with ``MIN_DENSITY`` of
+    its n-grams intact, as the later check asks, and foreign letters for the rest.
+    """
+    cosines = np.full(len(passages.ids), MIN_COSINE)
+    features = float(MIN_FEATURES)
+    for i, grams in enumerate(passages.grams):
+        half = -(-len(passages.letters[i]) // 2)
+        # Letters of the half that its best window holds, wherever the cells begin.
+        inside = half if half <= CELL else min(2 * CELL, (half + CELL) // 2)
+        at, term = passages.hits(grams)
+        sums = np.zeros((3, len(grams) + 1))
+        for row, value in zip(sums, (loads[term] @ latent[i], square[term], 1.0), strict=True):
+            row[at + 1] = value
+        sums = sums.cumsum(axis=1)
+        width = min(max(1, inside - GRAM + 1), len(grams))
+        dot, mass, held = MIN_DENSITY * (sums[:, width:] - sums[:, :-width])
+        cosine = dot / np.sqrt(mass + np.maximum(0, 2 * CELL - held) * strange**2)
+        cosines[i] = min(MIN_COSINE, cosine.min())
+        features = min(features, held.min())
+    return cosines, max(1, int(features))
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
     masks: dict[int, int] = {}
@@ -258,7 +285,8 @@ def leaked_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -
         return read.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("share")).where(F.lit(False))
     df, n_docs = document_frequencies(read, known)
     idf = np.log((n_docs + 1.0) / (df + 0.5)).clip(0)
-    strange = float(np.log((n_docs + 1.0) / 0.5))
+    # Letters without a feature weigh as much as the mean feature, whatever the size of the corpus.
+    strange = float(idf.mean())
     vectors = []
     for terms in known.terms:
         t, counts = np.unique(terms, return_counts=True)
@@ -266,14 +294,19 @@ def leaked_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -
         vectors.append((t, w / max(1e-9, float(np.sqrt((w * w).sum())))))
     left, latent = randomised_svd(vectors, len(known.vocabulary), RANK)
     left, latent = left.astype(np.float32), latent.astype(np.float32)
+    square = (idf * idf).astype(np.float64)
     overlap = 2 * max((len(x) for x in known.letters), default=0)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def projection() -> np.ndarray:
         loads = np.zeros((len(known.vocabulary), left.shape[1]), dtype=np.float32)
         for (t, w), x in zip(vectors, left, strict=True):
             loads[t] += w.astype(np.float32)[:, None] * x
-        loads *= idf.astype(np.float32)[:, None]
-        square = (idf * idf).astype(np.float64)
+        return loads * idf.astype(np.float32)[:, None]
+
+    least, features = least_cosines(known, projection(), latent, square, strange)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loads = projection()
         sorted_ = [(np.argsort(g, kind="stable"), np.sort(g)) for g in known.grams]
         for batch in batches:
             rows: list[tuple] = []
@@ -290,7 +323,7 @@ def leaked_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -
                 cell = first[piece] + (at - bounds[piece]) // CELL
                 n_cells = int(first[-1])
                 held = np.bincount(cell, minlength=n_cells)
-                busy = np.flatnonzero(held[:-1] + held[1:] >= MIN_FEATURES)
+                busy = np.flatnonzero(held[:-1] + held[1:] >= features)
                 wanted = np.zeros(n_cells + 1, dtype=bool)
                 wanted[busy] = wanted[busy + 1] = True
                 term, cell = term[wanted[cell]], cell[wanted[cell]]
@@ -309,7 +342,7 @@ def leaked_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -
                 for s in range(0, len(busy), 4096):
                     w = busy[s : s + 4096]
                     cosine = (window[w] @ latent.T) / norm[w, None]
-                    x, item = np.nonzero(cosine >= MIN_COSINE)
+                    x, item = np.nonzero(cosine >= least)
                     found.append((np.searchsorted(first, w[x], side="right") - 1) * len(known.ids) + item)
                 for code in np.unique(np.concatenate(found)) if found else ():
                     p, item = divmod(int(code), len(known.ids))
