@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexlake.runtime import durable
+from codexlake.runtime import durable, release
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -19,6 +19,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = durable(edges.where(F.col("record").isNotNull() & F.col("entity").isNotNull()).select("record", "entity").distinct())
     labels = edges.select("entity").distinct().withColumn("component", F.col("entity"))
+    before = None
     for _ in range(max_rounds):
         of_record = edges.join(labels, "entity").groupBy("record").agg(F.min("component").alias("component"))
         spread = edges.join(of_record, "record").groupBy("entity").agg(F.min("component").alias("component"))
@@ -27,6 +28,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         changed = jumped.join(labels.withColumnRenamed("component", "old"), "entity").withColumn("moved", F.col("old") != F.col("component"))
         changed = durable(changed)
         labels = changed.select("entity", "component")
+        if before is not None:
+            release(before)
+        before = changed
         if changed.where("moved").isEmpty():
+            release(edges)
             return labels
     raise RuntimeError(f"labels still change after {max_rounds} rounds")

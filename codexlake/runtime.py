@@ -16,18 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the setting is absent, as in local tests; a
-    cluster must name a folder that all executors share.
+    A folder of our own is made only where the setting is absent and everything runs on this
+    machine, as in tests; a cluster without the setting is an error, since a machine-local
+    folder would be lost with its executor.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(named)
-        return named
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"codexlake-checkpoints-{os.getuid()}"))
-    return context._jsc.sc().getCheckpointDir().get()
+    unset = context._jsc.sc().getCheckpointDir().isEmpty()
+    if unset and not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if unset:
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"codexlake-checkpoints-{os.getuid()}"))
+    return named or context._jsc.sc().getCheckpointDir().get()
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -37,3 +37,13 @@ def durable(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the checkpoint files of a ``durable`` table that nothing reads any more."""
+    plan = df._jdf.queryExecution().logical()
+    path = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if path is not None and path.isDefined():
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path.get())
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
