@@ -2,50 +2,54 @@
 
 Passages and documents are reduced to letters (no case, accents, punctuation, breaks or hyphens).  Passages
 are TF-IDF vectors over letter n-grams, with document frequencies counted over the whole corpus.  A randomised
-SVD of the passages gives the latent space; every document is cut into overlapping windows, which are projected
-onto it, and windows whose cosine with a passage is high enough are candidates.  A candidate is a leak if a
-common subsequence in one place holds half of the passage.
-
-Only the passages (a fixed, small set) and what is derived from them travel to the executors; documents are
-read twice, never shuffled, and no pair of document and passage is formed that is no candidate.
+SVD of the passages, whose matrix products run over partitions of the terms, gives the latent space; every
+document is cut into overlapping windows, which are projected onto it, and windows whose cosine with a passage
+is high enough are candidates.  A candidate is a leak if a common subsequence in one place holds half of the
+passage; a paraphrase is a candidate of high cosine that has half of the passage's words in order and half of
+its answers (numbers and names).
+
+Passages are a stated query set, taken in blocks of ``BLOCK``; a block and what is derived from it travel to
+the executors and have a size of their own, whatever the number of passages.  Documents are never shuffled,
+and no pair of document and passage is formed that is no candidate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexlake.llm.characters import letter_skeleton
-from codexlake.runtime import table
+from codexlake.runtime import durable, release, table
 
 GRAM = 5
+#: Fewest letters of a passage that is searched for.
+MIN_LETTERS = 2 * GRAM
 #: A window is two cells of this many letters; windows overlap by one cell.
 CELL = 120
-RANK = 96
+RANK = 200
 OVERSAMPLE = 16
-POWER_ROUNDS = 3
-#: Largest latent cosine that may be asked of a candidate window, see ``least_cosines``, and least share of the
-#: passage that makes a leak.
-MIN_COSINE = 0.05
+POWER_ROUNDS = 2
+#: Least share of the passage that makes a leak.
 MIN_SHARE = 0.5
 #: N-grams of more passages than this are stock phrases and no features, unless a passage would lose half of its own.
 MAX_ITEMS = 2
 #: Share of half a passage's n-grams that must match near one offset before subsequences are compared: with a
 #: tenth of the letters wrong, 0.9**GRAM = 59 % still match.
 MIN_DENSITY = 0.4
-#: Largest number of features that may be asked of a window: half of a passage of 250 letters, half of its n-grams
-#: features, 59 % of them intact.
-MIN_FEATURES = 30
 #: Letters that may be missing or strange between two matches in one place, and drift of their offset.
 GAP, DRIFT = 30, 24
+#: Least cosine of a paraphrase, and least share of the passage's words in order and of its answers.
+SAME_MEANING, MIN_WORDS, MIN_ANSWERS = 0.15, 0.5, 0.5
 #: Letters handled at once; longer documents go piece by piece with an overlap longer than any passage.
 PIECE = 400_000
-#: Evaluation sets are small and held by every executor; more passages than this are refused.
-MAX_PASSAGES = 20_000
+#: Passages searched for in one reading of the documents; more go block by block.
+BLOCK = 256
 _BITS = 22
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -92,7 +96,8 @@ class Passages:
     """The evaluation passages as letters and n-grams, with a bitmap over the n-grams for a quick first look."""
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
-        kept = [(i, x) for i, t in zip(ids, texts, strict=True) if len(x := letters_of(t)) >= 2 * GRAM]
+        kept = [(i, x) for i, t in zip(ids, texts, strict=True) if len(x := letters_of(t)) >= MIN_LETTERS]
+        self.texts = dict(zip(ids, texts, strict=True))
         self.ids = np.array([i for i, _ in kept], dtype=np.int64)
         self.letters = [x for _, x in kept]
         self.grams = [grams_of(x) for x in self.letters]
@@ -168,26 +173,53 @@ def document_frequencies(docs: DataFrame, passages: Passages) -> tuple[np.ndarra
     return df, int(rows["n"].to_numpy()[~real].sum())
 
 
-def randomised_svd(rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Left vectors over singular values, and latent coordinates, of a sparse matrix given by rows.
+def passage_vectors(passages: DataFrame, known: Passages, df: np.ndarray, n_docs: int) -> DataFrame:
+    """The TF-IDF matrix of the passages, unit rows: ``item`` (row), ``term`` (column), ``weight``."""
+    row_of = {int(i): r for r, i in enumerate(known.ids)}
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, text in zip(batch["item_id"], batch["text"], strict=True):
+                if int(item) in row_of:
+                    _, term = known.hits(grams_of(letters_of(text)))
+                    terms, counts = np.unique(term, return_counts=True)
+                    weight = counts * np.log((n_docs + 1.0) / (df[terms] + 0.5)).clip(0)
+                    yield pd.DataFrame({"item": row_of[int(item)], "term": terms, "weight": weight / max(1e-9, float(np.sqrt((weight * weight).sum())))})
+
+    return passages.mapInPandas(entries, "item int, term bigint, weight double")
+
+
+def randomised_svd(entries: DataFrame, rows: int, rank: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Left vectors over singular values, and latent coordinates, of a sparse matrix ``item``, ``term``, ``weight``.
 
-    A random range finder with power rounds on the matrix of the rows' inner products; the right vectors are
-    the rows' sums under the first result and are formed where they are needed.
+    A random range finder with power rounds.  The matrix lies in partitions of whole columns; each round is
+    one job in which every partition multiplies its columns' part of the product and hands over a table of
+    ``rows`` x (rank + oversampling) numbers.  The right vectors are the rows' sums under the first result
+    and are formed where they are needed.
     """
-    n = len(rows)
-    gram = np.zeros((n, n))
-    owner = np.repeat(np.arange(n), [len(t) for t, _ in rows])
-    terms, weights = (np.concatenate(x) if n else np.zeros(0) for x in ([t for t, _ in rows], [w for _, w in rows]))
-    order = np.argsort(terms, kind="stable")
-    cuts = np.flatnonzero(np.diff(terms[order], prepend=-1, append=width + 1))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        i, w = owner[order[a:b]], weights[order[a:b]]
-        gram[np.ix_(i, i)] += np.outer(w, w)
-    k = min(rank, n)
-    probe = np.random.default_rng(seed).normal(size=(n, min(n, k + OVERSAMPLE)))
+    k = min(rank, rows)
+    held = durable(entries.repartition("term"))
+
+    def product(probe: np.ndarray) -> np.ndarray:
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            frames = [b for b in batches if len(b)]
+            if frames:
+                b = pd.concat(frames).sort_values("term")
+                item, weight = b["item"].to_numpy(), b["weight"].to_numpy()
+                begins = np.flatnonzero(np.diff(b["term"].to_numpy(), prepend=-1))
+                columns = np.add.reduceat(weight[:, None] * probe[item], begins, axis=0)
+                out = np.zeros((rows, probe.shape[1]))
+                np.add.at(out, item, weight[:, None] * np.repeat(columns, np.diff(begins, append=len(item)), axis=0))
+                yield pd.DataFrame({"part": [out.tobytes()]})
+
+        parts = [np.frombuffer(r.part).reshape(rows, -1) for r in held.mapInPandas(part, "part binary").toLocalIterator()]
+        return np.sum(parts, axis=0) if parts else np.zeros((rows, probe.shape[1]))
+
+    probe = np.random.default_rng(seed).normal(size=(rows, min(rows, k + OVERSAMPLE)))
     for _ in range(POWER_ROUNDS):
-        probe, _ = np.linalg.qr(gram @ probe)
-    values, vectors = np.linalg.eigh(probe.T @ gram @ probe)
+        probe, _ = np.linalg.qr(product(probe))
+    values, vectors = np.linalg.eigh(probe.T @ product(probe))
+    release(held)
     best = np.argsort(values)[::-1][:k]
     best = best[values[best] > 1e-9 * max(1e-30, values.max())]
     left = probe @ vectors[:, best]
@@ -198,11 +230,12 @@ def randomised_svd(rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank:
 def least_cosines(passages: Passages, loads: np.ndarray, latent: np.ndarray, square: np.ndarray, strange: float) -> tuple[np.ndarray, int]:
     """Latent cosine asked of a window for each passage, and number of features asked of any window.
 
-    Both are what the worst placed half of a passage still reaches in its best window, with ``MIN_DENSITY`` of
-    its n-grams intact, as the later check asks, and foreign letters for the rest.
+    Both follow from what the worst placed half of a passage still reaches in its best window, with
+    ``MIN_DENSITY`` of its n-grams intact, as the later check asks, and foreign letters for the rest; so short
+    passages ask for few features and long ones for many.
     """
-    cosines = np.full(len(passages.ids), MIN_COSINE)
-    features = float(MIN_FEATURES)
+    cosines = np.zeros(len(passages.ids))
+    features = np.inf
     for i, grams in enumerate(passages.grams):
         half = -(-len(passages.letters[i]) // 2)
         # Letters of the half that its best window holds, wherever the cells begin.
@@ -214,23 +247,53 @@ def least_cosines(passages: Passages, loads: np.ndarray, latent: np.ndarray, squ
         sums = sums.cumsum(axis=1)
         width = min(max(1, inside - GRAM + 1), len(grams))
         dot, mass, held = MIN_DENSITY * (sums[:, width:] - sums[:, :-width])
-        cosine = dot / np.sqrt(mass + np.maximum(0, 2 * CELL - held) * strange**2)
-        cosines[i] = min(MIN_COSINE, cosine.min())
+        cosines[i] = (dot / np.sqrt(np.maximum(1e-9, mass + np.maximum(0, 2 * CELL - held) * strange**2))).min()
         features = min(features, held.min())
     return cosines, max(1, int(features))
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
+def _rows(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Rows of the common-subsequence table as bits: bit ``i`` is 0 where letter ``i`` of ``a`` adds to the length."""
     masks: dict[int, int] = {}
     for i, c in enumerate(a.tolist()):
         masks[c] = masks.get(c, 0) | (1 << i)
     full = (1 << len(a)) - 1
-    row = full
+    rows = [full]
     for c in b.tolist():
-        match = row & masks.get(c, 0)
-        row = ((row + match) | (row - match)) & full
-    return len(a) - row.bit_count()
+        match = rows[-1] & masks.get(c, 0)
+        rows.append(((rows[-1] + match) | (rows[-1] - match)) & full)
+    return rows
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, by bit-parallel rows."""
+    return len(a) - _rows(a, b)[-1].bit_count()
+
+
+def _standing(a: np.ndarray, b: np.ndarray) -> int:
+    """Letters of ``a`` in the longest common subsequence, single wrong letters between two of them included."""
+    rows = _rows(a, b)
+    held = np.zeros(len(a), dtype=bool)
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[j] >> (i - 1) & 1:
+            i -= 1
+        elif not rows[j - 1] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            held[i] = True
+    held[1:-1] |= held[:-2] & held[2:]
+    return int(held.sum())
+
+
+def _grown(a: np.ndarray, b: np.ndarray) -> int:
+    """How many letters two texts go on alike, up to the first two wrong letters in a row."""
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    stop = np.flatnonzero(~same[:-1] & ~same[1:])
+    good = np.flatnonzero(same[: stop[0]] if len(stop) else same)
+    return int(good[-1]) + 1 if len(good) else 0
 
 
 def share_in_one_place(passage: np.ndarray, order: np.ndarray, keys: np.ndarray, document: np.ndarray, grams: np.ndarray) -> float:
@@ -261,14 +324,156 @@ def share_in_one_place(passage: np.ndarray, order: np.ndarray, keys: np.ndarray,
         a, b = j[inside], q[inside]
         cuts = np.flatnonzero((np.diff(a) > GAP + GRAM) | (np.abs(np.diff(b)) > GAP + GRAM)) + 1
         for x, y in zip(np.split(a, cuts), np.split(b, cuts), strict=True):
-            p, d = passage[y.min() : y.max() + GRAM], document[x.min() : x.max() + GRAM]
-            if min(len(p), len(d)) >= MIN_SHARE * len(passage) > best * len(passage) - 1:
-                best = max(best, _common(p, d) / len(passage))
+            y0, y1, x0, x1 = y.min(), y.max() + GRAM, x.min(), x.max() + GRAM
+            ends = _grown(passage[:y0][::-1], document[max(0, x0 - y0) : x0][::-1]) + _grown(passage[y1:], document[x1 : x1 + len(passage) - y1])
+            p, d = passage[y0:y1], document[x0:x1]
+            if min(len(p), len(d)) + ends >= MIN_SHARE * len(passage) > best * len(passage) - 1:
+                held = _common(p, d) + ends
+                if 0.8 * MIN_SHARE * len(passage) <= held < MIN_SHARE * len(passage):
+                    held = _standing(p, d) + ends
+                best = max(best, held / len(passage))
         if best >= 1:
             break
     return best
 
 
+#: Words of a passage that an answer may hinge on: numbers, and names inside a sentence.
+_ANSWER = regex.compile(r"\d+(?:[.,]\d+)*|(?<=[\p{Ll}\p{N},;:]\s)\p{Lu}[\p{L}\p{M}'’-]+")
+_STEM = 5
+
+
+def _words(text: str) -> list[str]:
+    return [x[:_STEM] for w in regex.findall(r"[\p{L}\p{M}\p{N}]+", text) if (x := letter_skeleton(w))]
+
+
+def same_meaning(passage: str, document: str) -> tuple[float, float]:
+    """Shares of the passage's words (by their stems, in order) and of its answers that a document has in one place.
+
+    The place is the stretch of twice the passage's length with most of its words; a passage without answers has them all.
+    """
+    own, other = _words(passage), _words(document)
+    if not own or not other:
+        return 0.0, 0.0
+    known = set(own)
+    hit = np.concatenate([[0], np.cumsum([w in known for w in other])])
+    span = min(len(other), 2 * len(own))
+    at = int(np.argmax(hit[span:] - hit[:-span]))
+    names: dict[str, int] = {}
+    a, b = (np.array([names.setdefault(w, len(names)) for w in x]) for x in (own, other[at : at + span]))
+    answers = {x[:_STEM] for w in _ANSWER.findall(passage) if (x := letter_skeleton(w))}
+    return _common(a, b) / len(own), len(answers & set(other[at : at + span])) / len(answers) if answers else 1.0
+
+
+@dataclass(slots=True)
+class Space:
+    """A block of passages with its latent space, as it travels to the executors."""
+
+    known: Passages
+    left: np.ndarray
+    latent: np.ndarray
+    idf: np.ndarray
+    least: np.ndarray
+    features: int
+
+    def loads(self) -> np.ndarray:
+        """Latent coordinates of each term of the vocabulary, times its weight."""
+        out = np.zeros((len(self.known.vocabulary), self.left.shape[1]), dtype=np.float32)
+        for terms, x in zip(self.known.terms, self.left, strict=True):
+            t, counts = np.unique(terms, return_counts=True)
+            w = counts * self.idf[t]
+            out[t] += (w / max(1e-9, float(np.sqrt((w * w).sum())))).astype(np.float32)[:, None] * x
+        return out * self.idf.astype(np.float32)[:, None]
+
+
+def latent_space(block: DataFrame, docs: DataFrame) -> Space | None:
+    """Latent space of a block of passages (``item_id``, ``text``) with document frequencies of all ``docs``; None without passages."""
+    rows = block.orderBy("item_id").collect()
+    known = Passages([r.item_id for r in rows], [r.text for r in rows])
+    if not len(known.ids):
+        return None
+    df, n_docs = document_frequencies(docs, known)
+    idf = np.log((n_docs + 1.0) / (df + 0.5)).clip(0)
+    left, latent = randomised_svd(passage_vectors(block, known, df, n_docs), len(known.ids), RANK)
+    space = Space(known, left.astype(np.float32), latent.astype(np.float32), idf, np.zeros(0), 1)
+    # Letters without a feature weigh as much as the mean feature, whatever the size of the corpus.
+    space.least, space.features = least_cosines(known, space.loads(), space.latent, idf * idf, float(idf.mean()))
+    return space
+
+
+def candidates(space: Space, loads: np.ndarray, least: np.ndarray, letters: np.ndarray, grams: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """``(piece, passage, cosine)`` of the pieces that have a window near enough to a passage in the latent space."""
+    known, square, strange = space.known, space.idf * space.idf, float(space.idf.mean())
+    at, term = known.hits(grams)
+    piece = np.searchsorted(bounds, at, side="right") - 1
+    whole = at + GRAM <= bounds[piece + 1]
+    at, term, piece = at[whole], term[whole], piece[whole]
+    # Cells of the pieces, numbered through; each piece ends with an empty cell.
+    cells_of = -(-np.diff(bounds) // CELL) + 1
+    first = np.concatenate([[0], np.cumsum(cells_of)])
+    cell = first[piece] + (at - bounds[piece]) // CELL
+    n_cells = int(first[-1])
+    held = np.bincount(cell, minlength=n_cells)
+    busy = np.flatnonzero(held[:-1] + held[1:] >= space.features)
+    wanted = np.zeros(n_cells + 1, dtype=bool)
+    wanted[busy] = wanted[busy + 1] = True
+    term, cell = term[wanted[cell]], cell[wanted[cell]]
+    if not len(cell):
+        return
+    used, begin = np.unique(cell, return_index=True)
+    sums = np.zeros((n_cells, loads.shape[1]), dtype=np.float32)
+    for s in range(0, len(used), 2048):
+        a, b = begin[s], begin[s + 2048] if s + 2048 < len(used) else len(cell)
+        sums[used[s : s + 2048]] = np.add.reduceat(loads[term[a:b]], begin[s : s + 2048] - a, axis=0)
+    mass = np.bincount(cell, weights=square[term], minlength=n_cells) + np.maximum(0, CELL - held) * strange**2
+    best: dict[tuple[int, int], float] = {}
+    for s in range(0, len(busy), 4096):
+        w = busy[s : s + 4096]
+        cosine = ((sums[w] + sums[w + 1]) @ space.latent.T) / np.sqrt(np.maximum(1e-9, mass[w] + mass[w + 1]))[:, None]
+        x, item = np.nonzero(cosine >= least)
+        pieces = np.searchsorted(first, w[x], side="right") - 1
+        for p, i, c in zip(pieces.tolist(), item.tolist(), cosine[x, item].tolist(), strict=True):
+            best[p, i] = max(c, best.get((p, i), -1.0))
+    for (p, i), c in sorted(best.items()):
+        yield p, i, c
+
+
+def _blocks(passages: DataFrame) -> list[DataFrame]:
+    """The passages (``item_id``, ``text``, each item once) in blocks of about ``BLOCK``."""
+    rows = passages.where("item_id IS NOT NULL AND passage IS NOT NULL").groupBy("item_id").agg(F.max(F.struct(F.length("passage"), F.col("passage").alias("text"))).alias("p")).select("item_id", "p.text")
+    n = -(-rows.count() // BLOCK)
+    return [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b) for b in range(n)]
+
+
+def _searched(docs: DataFrame, passages: DataFrame, key: str, least: Callable[[Space], np.ndarray], judge: Callable, columns: str) -> DataFrame:
+    """``doc_id``, ``item_id`` and ``columns`` of the candidates that ``judge`` keeps, over all blocks of passages."""
+    read = docs.select(F.col(key).alias("doc_id"), "text").where(F.col("text").isNotNull())
+    kind = dict(docs.dtypes)[key]
+    out = read.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), *[F.lit(0.0).alias(c) for c in columns.split()]).where(F.lit(False))
+    for block in _blocks(passages):
+        space = latent_space(block, read)
+        if space is not None:
+
+            def search(batches: Iterator[pd.DataFrame], space: Space = space) -> Iterator[pd.DataFrame]:
+                known, loads, asked = space.known, space.loads(), least(space)
+                overlap = 2 * max(len(x) for x in known.letters)
+                keyed = [(np.argsort(g, kind="stable"), np.sort(g)) for g in known.grams]
+                for batch in batches:
+                    rows: list[tuple] = []
+                    names, texts = batch["doc_id"].to_numpy(), list(batch["text"])
+                    for letters, owner, bounds in _pieces(texts, overlap):
+                        grams = grams_of(letters)
+                        for p, item, cosine in candidates(space, loads, asked, letters, grams, bounds):
+                            a, b = bounds[p], bounds[p + 1]
+                            kept = judge(known, item, keyed[item], letters[a:b], grams[a : max(a, b - GRAM + 1)], texts[owner[p]], cosine)
+                            if kept:
+                                rows.append((names[owner[p]], known.ids[item], *kept))
+                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", *columns.split()])
+
+            schema = ", ".join([f"doc_id {kind}", "item_id bigint", *[f"{c} double" for c in columns.split()]])
+            out = out.unionByName(read.mapInPandas(search, schema))
+    return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in columns.split()])
+
+
 def leaked_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -> DataFrame:
     """``doc_id``, ``item_id``, ``share``: documents that hold at least half of a passage in one place.
 
@@ -276,86 +481,34 @@ def leaked_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -
     item is one item with its longest passage; texts of any length are searched whole; other columns are
     ignored; empty tables give an empty result.
     """
-    rows = passages.where("item_id IS NOT NULL AND passage IS NOT NULL").groupBy("item_id").agg(F.max(F.struct(F.length("passage"), F.col("passage").alias("text"))).alias("p")).select("item_id", "p.text").orderBy("item_id").limit(MAX_PASSAGES + 1).collect()
-    if len(rows) > MAX_PASSAGES:
-        raise ValueError(f"more than {MAX_PASSAGES} passages")
-    known = Passages([r.item_id for r in rows], [r.text for r in rows])
-    read = docs.select(F.col(key).alias("doc_id"), "text").where(F.col("text").isNotNull())
-    if not len(known.ids):
-        return read.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("share")).where(F.lit(False))
-    df, n_docs = document_frequencies(read, known)
-    idf = np.log((n_docs + 1.0) / (df + 0.5)).clip(0)
-    # Letters without a feature weigh as much as the mean feature, whatever the size of the corpus.
-    strange = float(idf.mean())
-    vectors = []
-    for terms in known.terms:
-        t, counts = np.unique(terms, return_counts=True)
-        w = counts * idf[t]
-        vectors.append((t, w / max(1e-9, float(np.sqrt((w * w).sum())))))
-    left, latent = randomised_svd(vectors, len(known.vocabulary), RANK)
-    left, latent = left.astype(np.float32), latent.astype(np.float32)
-    square = (idf * idf).astype(np.float64)
-    overlap = 2 * max((len(x) for x in known.letters), default=0)
-
-    def projection() -> np.ndarray:
-        loads = np.zeros((len(known.vocabulary), left.shape[1]), dtype=np.float32)
-        for (t, w), x in zip(vectors, left, strict=True):
-            loads[t] += w.astype(np.float32)[:, None] * x
-        return loads * idf.astype(np.float32)[:, None]
-
-    least, features = least_cosines(known, projection(), latent, square, strange)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loads = projection()
-        sorted_ = [(np.argsort(g, kind="stable"), np.sort(g)) for g in known.grams]
-        for batch in batches:
-            rows: list[tuple] = []
-            names = batch["doc_id"].to_numpy()
-            for letters, owner, bounds in _pieces(list(batch["text"]), overlap):
-                grams = grams_of(letters)
-                at, term = known.hits(grams)
-                piece = np.searchsorted(bounds, at, side="right") - 1
-                whole = at + GRAM <= bounds[piece + 1]
-                at, term, piece = at[whole], term[whole], piece[whole]
-                # Cells of the pieces, numbered through; each piece ends with an empty cell.
-                cells_of = -(-np.diff(bounds) // CELL) + 1
-                first = np.concatenate([[0], np.cumsum(cells_of)])
-                cell = first[piece] + (at - bounds[piece]) // CELL
-                n_cells = int(first[-1])
-                held = np.bincount(cell, minlength=n_cells)
-                busy = np.flatnonzero(held[:-1] + held[1:] >= features)
-                wanted = np.zeros(n_cells + 1, dtype=bool)
-                wanted[busy] = wanted[busy + 1] = True
-                term, cell = term[wanted[cell]], cell[wanted[cell]]
-                if not len(cell):
-                    continue
-                used, begin = np.unique(cell, return_index=True)
-                sums = np.zeros((n_cells, left.shape[1]), dtype=np.float32)
-                for s in range(0, len(used), 2048):
-                    a, b = begin[s], begin[s + 2048] if s + 2048 < len(used) else len(cell)
-                    sums[used[s : s + 2048]] = np.add.reduceat(loads[term[a:b]], begin[s : s + 2048] - a, axis=0)
-                mass = np.bincount(cell, weights=square[term], minlength=n_cells)
-                mass += np.maximum(0, CELL - held) * strange**2
-                window = sums[:-1] + sums[1:]
-                norm = np.sqrt(mass[:-1] + mass[1:])
-                found = []
-                for s in range(0, len(busy), 4096):
-                    w = busy[s : s + 4096]
-                    cosine = (window[w] @ latent.T) / norm[w, None]
-                    x, item = np.nonzero(cosine >= least)
-                    found.append((np.searchsorted(first, w[x], side="right") - 1) * len(known.ids) + item)
-                for code in np.unique(np.concatenate(found)) if found else ():
-                    p, item = divmod(int(code), len(known.ids))
-                    a, b = bounds[p], bounds[p + 1]
-                    order, keys = sorted_[item]
-                    share = share_in_one_place(known.letters[item], order, keys, letters[a:b], grams[a : max(a, b - GRAM + 1)])
-                    if share >= MIN_SHARE:
-                        rows.append((names[owner[p]], known.ids[item], share))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share"])
 
-    kind = dict(docs.dtypes)[key]
-    return read.mapInPandas(search, f"doc_id {kind}, item_id bigint, share double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    def judge(known: Passages, item: int, keyed: tuple, letters: np.ndarray, grams: np.ndarray, text: str, cosine: float) -> tuple | None:
+        share = share_in_one_place(known.letters[item], *keyed, letters, grams)
+        return (share,) if share >= MIN_SHARE else None
+
+    return _searched(docs, passages, key, lambda space: space.least, judge, "share")
+
+
+def paraphrased_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``item_id``, ``cosine``, ``words``, ``answers``: documents near a passage in meaning.
+
+    The latent cosine is at least ``SAME_MEANING``, and shares of the passage's words and answers in one place
+    reach their bounds, so words may be exchanged, inflected or left out where ``leaked_passages`` asks for the
+    letters.  Nulls, short passages and repeated items as there.
+    """
+
+    def judge(known: Passages, item: int, keyed: tuple, letters: np.ndarray, grams: np.ndarray, text: str, cosine: float) -> tuple | None:
+        words, answers = same_meaning(known.texts[int(known.ids[item])], text)
+        return (cosine, words, answers) if words >= MIN_WORDS and answers >= MIN_ANSWERS else None
+
+    return _searched(docs, passages, key, lambda space: np.full(len(space.known.ids), SAME_MEANING), judge, "cosine words answers")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")).select("doc_id", "item_id")
+
+
+def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents near a held-out passage in meaning, with the shares that say so."""
+    found = paraphrased_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
+    return found.select("doc_id", "item_id", *[F.round(c, 4).alias(c) for c in ("cosine", "words", "answers")])

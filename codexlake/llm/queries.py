@@ -15,6 +15,7 @@ QUERIES = {
     "p5_assignment": grouped_split.p5_assignment,
     "p5_split_report": grouped_split.p5_split_report,
     "p7_found": leaks.p7_found,
+    "p7_paraphrases": leaks.p7_paraphrases,
     "p8_mixture": mixing.p8_mixture,
     "p8_shares": mixing.p8_shares,
     "p9_found": sentences.p9_found,

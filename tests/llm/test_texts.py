@@ -83,13 +83,50 @@ def test_leaks_equal_what_was_planted(spark, collected):
     assert leaks.leaked_passages(df.limit(0), items).count() == 0 and leaks.leaked_passages(df, items.limit(0)).count() == 0
 
 
-def test_svd_spans_the_rows():
+def test_svd_spans_the_rows(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(12, 30)) * (rng.random((12, 30)) < 0.5)
-    rows = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in a]
-    left, latent = leaks.randomised_svd(rows, 30, 12)
+    entries = spark.createDataFrame([(int(i), int(t), float(a[i, t])) for i, t in zip(*np.nonzero(a), strict=True)], "item int, term bigint, weight double")
+    left, latent = leaks.randomised_svd(entries, 12, 12)
     right = a.T @ left
     assert np.allclose(right.T @ right, np.eye(right.shape[1]), atol=1e-6) and np.allclose(latent @ right.T, a, atol=1e-6)
+    best, _ = leaks.randomised_svd(entries, 12, 4)
+    assert best.shape == (12, 4) and leaks.randomised_svd(entries.limit(0), 3, 2)[0].shape == (3, 0)
+
+
+def test_short_passages_and_blocks(spark, monkeypatch):
+    """Passages from ten letters on are found, beside long ones and in blocks of passages."""
+    rng = random.Random(11)
+    made = ["".join(rng.choice("abcdefghilmnoprstuv") for _ in range(n)) for n in (10, 14, 20, 26, 30, 33, 36, 48, 300, 500)]
+    noise = ["".join(rng.choice("abcdefghilmnoprstuv ") for _ in range(700)) for _ in range(60)]
+    docs = [(i, noise[i] + " " + p + " " + noise[i + 20]) for i, p in enumerate(made)] + [(100 + i, t) for i, t in enumerate(noise)]
+    docs += [(200 + i, noise[i] + p[: int(len(p) * 0.6) + 1] + noise[i + 20]) for i, p in enumerate(made) if len(p) >= 30]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame(list(enumerate(made)), "item_id bigint, passage string")
+    due = {(i, i) for i in range(len(made))} | {(200 + i, i) for i, p in enumerate(made) if len(p) >= 30}
+    for block in (256, 4):
+        monkeypatch.setattr(leaks, "BLOCK", block)
+        found = {(r.doc_id, r.item_id) for r in leaks.leaked_passages(df, items).collect()}
+        assert due <= found and {i for _, i in found - due} <= {0, 1}
+
+
+def test_wrong_letters_count_as_standing():
+    a, b = (np.array([ord(c) for c in s], dtype=np.uint32) for s in ("abcdefghijkl", "abXdefgYYjkl"))
+    assert leaks._common(a, b) == 9 and leaks._standing(a, b) == 10
+    assert leaks._grown(a, b) == 7 and leaks._grown(a[:0], b) == 0
+
+
+def test_paraphrases_need_the_latent_space(spark, monkeypatch):
+    passage = "The careful scribe of Morhaven copied 12 psalms in the northern scriptorium before the winter, and the keeper Kallquist bound them in leather for the abbey library."
+    told = "Before long the careful scribes of Morhaven copying 12 psalm in that northern scriptoria before winters and the keepers Kallquist bound them all in leathers for an abbey libraries."
+    wrong = told.replace("Morhaven", "Tarnburg").replace("12", "40").replace("Kallquist", "Vogel")
+    other = "The rapid seam explains the rubric with red ink and nobody knows why it was written in this smaller script at all."
+    docs = spark.createDataFrame([(1, told), (2, wrong), (3, other), (4, None), (5, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, passage), (2, other)], "item_id bigint, passage string")
+    assert [(r.doc_id, r.item_id) for r in leaks.paraphrased_passages(docs, items).orderBy("doc_id").collect()] == [(1, 1), (3, 2)]
+    monkeypatch.setattr(leaks, "SAME_MEANING", 0.999)
+    assert [r.doc_id for r in leaks.paraphrased_passages(docs, items).collect() if r.doc_id == 1] == []
+    assert leaks.paraphrased_passages(docs.limit(0), items).count() == 0
 
 
 def test_common_subsequence_equals_dynamic_programme():
