@@ -1,16 +1,20 @@
-"""The same or nearly the same record in different splits: segmented bit fingerprints, then verification.
-
-Each text's letter skeleton gets (a) a 128-bit SimHash of its letter trigrams and (b) code blocks of a second
-fingerprint whose segments are cut at content-defined places, so that one wrong, missing or added letter
-changes the one or two blocks around it and leaves the rest.  Keys are ordered pairs of blocks that stand near each other; texts of
-different splits that share a key, lie within the Hamming radius and have their blocks at like places are
-candidates, and an edit distance decides.  A plain SimHash block join would need blocks short enough to
-survive a tenth of the letters changing (about a fifth of all bits), which every other text then shares too.
+"""The same or nearly the same record in different splits: segmented code blocks, bit fingerprints, verification.
+
+Texts are compared by their letter skeletons, each distinct one once, with at most one letter in ten different.
+A train text of ``n`` letters below ``EVEN_BELOW`` is cut into ``n/9 + 1`` even code blocks; whatever the
+``n/9`` possible differences are, one block stands intact in the other text, shifted by no more than the
+differences before it, so a held-out text asks for its blocks at those places only and every pair shares a key.
+Longer texts, which have more intact stretches, are cut at content-defined places; their keys are ordered pairs of
+blocks that stand near each other, so keys grow in proportion to a text's length.  Candidates within the
+Hamming radius of the texts' 128-bit SimHashes go to an edit distance, which decides.  Blocks of the SimHash
+itself fail as keys: a tenth of the letters changed flips about a quarter of the bits, and blocks short enough
+to survive that are shared by every other text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,11 +27,13 @@ from codexlake.runtime import durable, table
 MIN_LETTERS = 20
 MAX_CHANGED = 0.1
 #: Hamming radius of the 128-bit SimHash; a tenth of the letters changed moves about 32 bits, give or take 5.
-RADIUS = 44
-#: Half-widths of the windows in which a trigram hash must be least to end a segment.
-WIDE, NARROW, NARROW_BELOW = 3, 2, 44
-#: Pairs of segments are formed up to this distance, so keys grow in proportion to a text's length.
-REACH = 12
+RADIUS = 54
+#: Train texts of fewer letters have even blocks, others content-defined ones.
+EVEN_BELOW = 81
+#: Half-widths of the windows in which a trigram hash must be least to end a content-defined block.
+WIDTHS = (3, 2)
+#: Pairs of content-defined blocks are formed up to this distance.
+REACH = 5
 
 _M1, _M2, _M3, _BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x2545F4914F6CDD1D))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -43,79 +49,124 @@ def _inverse(x: int) -> int:
     return pow(int(x), -1, 2**64)
 
 
-def fingerprints(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """SimHash of each text (two words of 64 bits), and for each text its keys with the places of the two blocks behind each key."""
+def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mixed letters of all texts in a row, the text of each letter, its place in it, and trigram hashes with where they are whole."""
     n = np.array([len(t) for t in texts], dtype=np.int64)
-    empty = np.zeros(0, dtype=np.int64)
-    keys, first, second = ([empty] * len(texts) for _ in range(3))
-    if not n.sum():
-        return np.zeros((len(texts), 2), dtype=np.int64), keys, first, second
     letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     row = np.repeat(np.arange(len(texts)), n)
-    start = np.concatenate([[0], np.cumsum(n)])
-    place = np.arange(len(letters)) - start[row]
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(n) - n, n)
     mixed = _mix(letters * _M1)
     grams = np.full(len(letters), _TOP)
-    inside = place + 2 < n[row]
+    inside = place + 2 < n[row] if len(row) else np.zeros(0, dtype=bool)
     at = np.flatnonzero(inside)
     grams[at] = _mix(mixed[at] * _M1 + mixed[at + 1] * _M2 + mixed[at + 2] * _M3)
+    return mixed, row, place, grams, inside
 
+
+def simhashes(texts: list[str]) -> np.ndarray:
+    """SimHash of the letter trigrams of each text, as two words of 64 bits."""
+    _, row, _, grams, inside = _flat(texts)
+    at = np.flatnonzero(inside)
+    out = np.zeros((len(texts), 2), dtype=np.int64)
     counts = np.bincount(row[at], minlength=len(texts))
     full = counts > 0
-    cuts = np.concatenate([[0], np.cumsum(counts)])[:-1][full]
-    simhash = np.zeros((len(texts), 2), dtype=np.int64)
-    for half, hashes in enumerate((grams[at], _mix(grams[at] + _M1)) if len(at) else ()):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-        simhash[full, half] = np.packbits(ones * 2 > counts[full, None], axis=1).view(np.uint64).ravel().view(np.int64)
-
-    power = np.empty(int(n.max()) + 1, dtype=np.uint64)
-    back = np.empty_like(power)
+    if len(at):
+        cuts = np.concatenate([[0], np.cumsum(counts)])[:-1][full]
+        for half, hashes in enumerate((grams[at], _mix(grams[at] + _M1))):
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+            out[full, half] = np.packbits(ones * 2 > counts[full, None], axis=1).view(np.uint64).ravel().view(np.int64)
+    return out
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    power, back = np.full(n + 1, _BASE), np.full(n + 1, np.uint64(_inverse(int(_BASE))))
     power[0] = back[0] = 1
-    power[1:] = _BASE
-    back[1:] = np.uint64(_inverse(int(_BASE)))
-    power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * power[place], dtype=np.uint64)])
+    return np.multiply.accumulate(power), np.multiply.accumulate(back)
+
+
+def _most(n: int) -> int:
+    """Differences that a text of ``n`` letters may have with a longer one."""
+    return n // 9
+
+
+@lru_cache(maxsize=None)
+def _even(n: int) -> list[tuple[int, int]]:
+    """Start and length of the even blocks of a train text of ``n`` letters."""
+    cuts = [n * i // (_most(n) + 1) for i in range(_most(n) + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in texts]
-    for width in (WIDE, NARROW):
+
+@lru_cache(maxsize=None)
+def _asked(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and tags of the stretches in which a held-out text of ``n`` letters looks for blocks.
+
+    For each length of a train text within reach and each of its blocks: before the block lie no more
+    differences than blocks, or, seen from the end, after it no more than the remaining ones.
+    """
+    out = []
+    for train in range(n - n // 10, EVEN_BELOW):
+        if train - n > train // 10:
+            break
+        most = max(train, n) // 10
+        blocks = _even(train)
+        for i, (start, length) in enumerate(blocks):
+            after = min(most, len(blocks) - 1 - i)
+            low = max(0, start - min(i, most), start + n - train - after)
+            high = min(n - length, start + min(i, most), start + n - train + after)
+            out += [(p, length, train * 64 + i) for p in range(low, high + 1)]
+    return tuple(np.array(x, dtype=np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 3
+
+
+@lru_cache(maxsize=None)
+def _held(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and tags of the blocks of a train text of ``n`` letters."""
+    return tuple(np.array(x, dtype=np.int64) for x in zip(*[(s, k, n * 64 + i) for i, (s, k) in enumerate(_even(n))], strict=True))
+
+
+def even_keys(texts: list[str], of: Callable[[int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the text and key of each even block (``of`` is ``_held``) or of each stretch looked at (``_asked``)."""
+    rows, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    lengths = np.array([len(t) for t in texts])
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        start, length, tag = of(int(n))
+        if len(start):
+            letters = np.frombuffer("".join(texts[i] for i in at).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64).reshape(len(at), n)
+            power, back = _powers(int(n))
+            sums = np.concatenate([np.zeros((len(at), 1), dtype=np.uint64), np.cumsum(_mix(letters * _M1) * power[:-1], axis=1, dtype=np.uint64)], axis=1)
+            codes = (sums[:, start + length] - sums[:, start]) * back[start]
+            keys.append(_mix(codes * _M2 + _mix(tag.astype(np.uint64) * _M3)).view(np.int64).ravel())
+            rows.append(np.repeat(at, len(start)))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def paired_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, key, and places (two halves of a word) of each pair of content-defined blocks."""
+    mixed, row, place, grams, inside = _flat(texts)
+    out = [(np.zeros(0, dtype=np.int64),) * 3]
+    power, back = _powers(max((len(t) for t in texts), default=0))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * power[place], dtype=np.uint64)])
+    for width in WIDTHS if len(mixed) else ():
         least = inside.copy()
         for k in range(1, width + 1):
-            for side in (-k, k):
-                other = np.full(len(grams), _TOP)
-                if side > 0:
-                    other[:-k] = np.where(row[k:] == row[:-k], grams[k:], _TOP)
-                    least &= grams <= other
-                else:
-                    other[k:] = np.where(row[k:] == row[:-k], grams[:-k], _TOP)
-                    least &= grams < other
+            same = row[k:] == row[:-k]
+            least[:-k] &= ~same | (grams[:-k] <= grams[k:])
+            least[k:] &= ~same | (grams[k:] < grams[:-k])
         begin = place == 0
         begin[1:] |= least[:-1] & (row[1:] == row[:-1])
         heads = np.flatnonzero(begin)
-        ends = np.concatenate([heads[1:], [len(letters)]])
+        ends = np.concatenate([heads[1:], [len(mixed)]])
         codes = _mix((sums[ends] - sums[heads]) * back[place[heads]] + (ends - heads).astype(np.uint64) * _M1)
-        head_row = row[heads]
-        blocks = np.bincount(head_row, minlength=len(texts))
-        offset = np.concatenate([[0], np.cumsum(blocks)])
-        for c in np.unique(blocks):
-            rows = np.flatnonzero((blocks == c) & (n < NARROW_BELOW)) if width == NARROW else np.flatnonzero(blocks == c)
-            if not c or not len(rows):
-                continue
-            if c == 1:
-                i = j = np.zeros(1, dtype=np.int64)
-            else:
-                gaps = [(np.arange(c - g), np.arange(g, c)) for g in range(1, min(REACH, c - 1) + 1)]
-                i, j = (np.concatenate(x) for x in zip(*gaps, strict=True))
-            cell = offset[rows][:, None]
-            a, b = cell + i, cell + j
-            pair = _mix(codes[a] * _M1 + _mix(codes[b] + np.uint64(width)) * _M2).view(np.int64)
-            p, q = place[heads[a]], place[heads[b]]
-            for r, x, y, z in zip(rows, pair, p, q, strict=True):
-                found[r].append((x, y, z))
-    for r, parts in enumerate(found):
-        if parts:
-            keys[r], first[r], second[r] = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return simhash, keys, first, second
+        owner = row[heads]
+        for gap in range(REACH + 1):
+            a = np.arange(max(0, len(heads) - gap))
+            # A text of a single block is its own pair.
+            kept = np.bincount(owner)[owner] == 1 if gap == 0 else owner[a] == owner[a + gap]
+            a = a[kept]
+            key = _mix(codes[a] * _M1 + _mix(codes[a + gap] + np.uint64(width)) * _M2).view(np.int64)
+            out.append((owner[a], key, place[heads[a]] << 32 | place[heads[a + gap]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def split_of(column: str) -> Column:
@@ -128,33 +179,76 @@ def _skeletons(texts: pd.Series) -> pd.Series:
     return per_distinct(texts, letter_skeleton)
 
 
-def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), 2000):
-            part = batch.iloc[at : at + 2000]
-            simhash, keys, first, second = fingerprints(list(part["skeleton"]))
-            yield pd.DataFrame({"text_id": part["text_id"].values, "in_train": part["in_train"].values, "in_eval": part["in_eval"].values, "n": part["n"].values, "sim1": simhash[:, 0], "sim2": simhash[:, 1], "keys": keys, "first": first, "second": second})
+def _keyed(texts: DataFrame, train: bool) -> DataFrame:
+    """``key``, ``text_id``, ``places`` of one side of the join."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, given, n = batch["text_id"].to_numpy(), batch["skeleton"].to_numpy(), batch["skeleton"].str.len().to_numpy()
+            # A held-out text may be a tenth shorter or longer than its train text.
+            even = np.flatnonzero(n < EVEN_BELOW if train else n <= EVEN_BELOW * 10 // 9)
+            paired = np.flatnonzero(n >= EVEN_BELOW if train else n >= EVEN_BELOW - EVEN_BELOW // 9)
+            row, key = even_keys(list(given[even]), _held if train else _asked)
+            yield pd.DataFrame({"key": key, "text_id": ids[even][row], "places": np.int64(0)})
+            for s in range(0, len(paired), 1000):
+                part = paired[s : s + 1000]
+                row, key, places = paired_keys(list(given[part]))
+                yield pd.DataFrame({"key": key, "text_id": ids[part][row], "places": places})
+
+    return texts.select("text_id", "skeleton").mapInPandas(keys, "key bigint, text_id bigint, places bigint")
+
+
+def _simhash(column: str) -> Column:
+    def words(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(simhashes(list(texts)), columns=["a", "b"])
+
+    return F.pandas_udf(words, "a bigint, b bigint")(column)
 
 
 def near_links(texts: DataFrame) -> DataFrame:
     """Links ``train_id``, ``eval_id`` between different texts: at most one letter in ten differs.
 
     ``texts``: ``text_id``, ``skeleton``, ``in_train``, ``in_eval``, one row for each distinct skeleton, so
-    groups of copies, however large, count once.
+    groups of copies, however large, count once.  Keys hold the length of the text and the number of the
+    block, so a formula that many texts share is spread over both; a key that is hot all the same is split by
+    the skew handling of the sort-merge join, which has no outer side and may divide either.
+    """
+    t = _keyed(texts.where("in_train"), True).select("key", F.col("text_id").alias("train_id"), F.col("places").alias("t"))
+    e = _keyed(texts.where("in_eval"), False).select("key", F.col("text_id").alias("eval_id"), F.col("places").alias("e"))
+    # Places are within a tenth of the longer text, whose length is known only later: a bound by the place itself.
+    low = F.lit(2**32 - 1)
+    p, q = F.shiftright("t", 32) - F.shiftright("e", 32), F.col("t").bitwiseAND(low) - F.col("e").bitwiseAND(low)
+    drift = F.abs(p - q) <= 2 + F.abs(F.shiftright("t", 32) - F.col("t").bitwiseAND(low)) / 2
+    candidates = t.join(e.hint("merge"), "key").where((F.col("train_id") != F.col("eval_id")) & drift).select("train_id", "eval_id").distinct()
+    words = texts.select("text_id", "skeleton", _simhash("skeleton").alias("sim"))
+    a, b = (words.select(F.col("text_id").alias(f"{side}_id"), F.col("skeleton").alias(name), F.col("sim").alias(f"{name}_sim")) for side, name in (("train", "a"), ("eval", "b")))
+    held = candidates.join(a, "train_id").join(b, "eval_id")
+    most = F.floor(F.greatest(F.length("a"), F.length("b")) * MAX_CHANGED).cast("int")
+    alike = F.bit_count(F.col("a_sim.a").bitwiseXOR(F.col("b_sim.a"))) + F.bit_count(F.col("a_sim.b").bitwiseXOR(F.col("b_sim.b"))) <= RADIUS
+    held = held.withColumn("most", most).where((F.abs(F.length("a") - F.length("b")) <= F.col("most")) & alike)
+    return held.where(F.levenshtein("a", "b") <= F.col("most")).select("train_id", "eval_id")
+
+
+def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a split and enough letters (``row_id``, ``split``, ``digest``), and their distinct texts.
+
+    Texts are told apart by a digest of 128 bits and numbered anew, so no two share an id.
     """
-    sized = texts.withColumn("n", F.length("skeleton"))
-    prints = durable(sized.mapInPandas(_prints, "text_id bigint, in_train boolean, in_eval boolean, n int, sim1 bigint, sim2 bigint, keys array<bigint>, first array<bigint>, second array<bigint>"))
-    spread = prints.select("text_id", "in_train", "in_eval", "n", "sim1", "sim2", F.explode(F.arrays_zip("keys", "first", "second")).alias("k")).select("text_id", "in_train", "in_eval", "n", "sim1", "sim2", F.col("k.keys").alias("key"), F.col("k.first").cast("int").alias("p"), F.col("k.second").cast("int").alias("q"))
-    t = spread.where("in_train").select("key", *[F.col(c).alias(f"t_{c}") for c in ("text_id", "n", "sim1", "sim2", "p", "q")])
-    e = spread.where("in_eval").select("key", *[F.col(c).alias(f"e_{c}") for c in ("text_id", "n", "sim1", "sim2", "p", "q")])
-    most = F.floor(F.greatest("t_n", "e_n") * MAX_CHANGED)
-    near = (F.abs(F.col("t_n") - F.col("e_n")) <= most) & (F.abs(F.col("t_p") - F.col("e_p")) <= most) & (F.abs(F.col("t_q") - F.col("e_q")) <= most)
-    alike = F.bit_count(F.col("t_sim1").bitwiseXOR(F.col("e_sim1"))) + F.bit_count(F.col("t_sim2").bitwiseXOR(F.col("e_sim2"))) <= RADIUS
-    candidates = t.join(e, (t["key"] == e["key"]) & near & alike & (F.col("t_text_id") != F.col("e_text_id"))).select("t_text_id", "e_text_id").distinct()
-    words = texts.select("text_id", "skeleton")
-    held = candidates.join(words.select(F.col("text_id").alias("t_text_id"), F.col("skeleton").alias("a")), "t_text_id").join(words.select(F.col("text_id").alias("e_text_id"), F.col("skeleton").alias("b")), "e_text_id")
-    longest = F.greatest(F.length("a"), F.length("b"))
-    return held.where(F.levenshtein("a", "b") <= F.floor(longest * MAX_CHANGED)).select(F.col("t_text_id").alias("train_id"), F.col("e_text_id").alias("eval_id"))
+    skeleton = F.pandas_udf(_skeletons, "string")
+    read = rows.select("row_id", split_of("split").alias("split"), "text").where(F.col("split").isNotNull() & F.col("text").isNotNull() & F.col("row_id").isNotNull())
+    members = read.select("row_id", "split", skeleton("text").alias("skeleton"))
+    members = members.where(F.length(F.regexp_replace("skeleton", r"\p{N}", "")) >= MIN_LETTERS)
+    members = durable(members.withColumn("digest", F.unhex(F.md5("skeleton"))))
+    texts = members.groupBy("digest").agg(F.min("skeleton").alias("skeleton"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
+    return members, durable(texts.withColumn("text_id", F.monotonically_increasing_id()))
+
+
+def class_links(texts: DataFrame) -> DataFrame:
+    """``train_digest``, ``eval_digest``, ``same``: linked texts, a text in both splits with itself."""
+    own = texts.select("text_id", "digest")
+    links = near_links(texts).join(own.select(F.col("text_id").alias("train_id"), F.col("digest").alias("train_digest")), "train_id").join(own.select(F.col("text_id").alias("eval_id"), F.col("digest").alias("eval_digest")), "eval_id")
+    same = texts.where("in_train and in_eval").select(F.col("digest").alias("train_digest"), F.col("digest").alias("eval_digest"), F.lit(True).alias("same"))
+    return links.select("train_digest", "eval_digest", F.lit(False).alias("same")).unionByName(same)
 
 
 def cross_split_pairs(rows: DataFrame) -> DataFrame:
@@ -165,17 +259,23 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     than 20 letters give nothing; digits count as letters when texts are compared; texts of any length are
     compared whole; an empty table gives an empty result.
     """
-    skeleton = F.pandas_udf(_skeletons, "string")
-    read = rows.select("row_id", split_of("split").alias("split"), "text").where(F.col("split").isNotNull() & F.col("text").isNotNull() & F.col("row_id").isNotNull())
-    members = read.select("row_id", "split", skeleton("text").alias("skeleton"))
-    members = members.where(F.length(F.regexp_replace("skeleton", r"\p{N}", "")) >= MIN_LETTERS)
-    members = durable(members.withColumn("text_id", F.xxhash64("skeleton")))
-    texts = members.groupBy("text_id").agg(F.min("skeleton").alias("skeleton"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
-    texts = durable(texts)
-    links = near_links(texts).withColumn("same", F.lit(False)).unionByName(texts.where("in_train and in_eval").select(F.col("text_id").alias("train_id"), F.col("text_id").alias("eval_id"), F.lit(True).alias("same")))
-    train = members.where("split = 'train'").select(F.col("text_id").alias("train_id"), F.col("row_id").alias("train_row"))
-    held = members.where("split <> 'train'").select(F.col("text_id").alias("eval_id"), F.col("row_id").alias("eval_row"), F.col("split").alias("eval_split"))
-    return links.join(train, "train_id").join(held, "eval_id").select("train_row", "eval_row", "eval_split", "same")
+    members, texts = text_classes(rows)
+    train = members.where("split = 'train'").select(F.col("digest").alias("train_digest"), F.col("row_id").alias("train_row"))
+    held = members.where("split <> 'train'").select(F.col("digest").alias("eval_digest"), F.col("row_id").alias("eval_row"), F.col("split").alias("eval_split"))
+    return class_links(texts).join(train, "train_digest").join(held, "eval_digest").select("train_row", "eval_row", "eval_split", "same")
+
+
+def overlap_counts(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``eval_split``, ``source``, ``n_pairs``, ``n_rows``, ``n_same_text``: overlaps with train, from the sizes of the classes.
+
+    ``source``: ``row_id``, ``source``; rows without one count under null.  No pair of rows is formed.
+    """
+    members, texts = text_classes(rows)
+    train = members.where("split = 'train'").groupBy(F.col("digest").alias("train_digest")).agg(F.count(F.lit(1)).alias("n_train"))
+    linked = class_links(texts).join(train, "train_digest").groupBy(F.col("eval_digest").alias("digest")).agg(F.sum("n_train").alias("n_train"), F.max("same").alias("same"))
+    held = members.where("split <> 'train'").select("row_id", "digest", F.col("split").alias("eval_split")).join(source.select("row_id", "source"), "row_id", "left")
+    held = held.groupBy("digest", "eval_split", "source").agg(F.count(F.lit(1)).alias("n"))
+    return held.join(linked, "digest").groupBy("eval_split", "source").agg(F.sum(F.col("n") * F.col("n_train")).alias("n_pairs"), F.sum("n").alias("n_rows"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("n_same_text"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +291,4 @@ def p4_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codexlake.llm.grouped_split import codex_of_rows  # that module reads splits by this one
 
     rows = table(spark, sf_dir, "import_rows")
-    source = codex_of_rows(rows, table(spark, sf_dir, "release_lines")).select(F.col("row_id").alias("eval_row"), F.col("codex").alias("source"))
-    pairs = cross_split_pairs(rows).groupBy("eval_row", "eval_split").agg(F.count(F.lit(1)).alias("pairs"), F.max("same").alias("same"))
-    return pairs.join(source, "eval_row", "left").groupBy("eval_split", "source").agg(F.sum("pairs").alias("n_pairs"), F.count(F.lit(1)).alias("n_rows"), F.count_if("same").alias("n_same_text"))
+    return overlap_counts(rows, codex_of_rows(rows, table(spark, sf_dir, "release_lines")).select("row_id", F.col("codex").alias("source")))

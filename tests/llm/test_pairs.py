@@ -8,6 +8,7 @@ from codexlake.functions.metrics import edit_distance
 from codexlake.llm import cross_split, grouped_split
 from codexlake.llm.characters import consistent_form, letter_skeleton, normalise
 from codexlake.llm.lookalikes import form_of, same_look
+from pyspark.sql import functions as F
 
 LINES = "line_id string, text string, response_id bigint"
 SAID = "response_id bigint, line_id string, text string, character_confidences array<struct<char:string,confidence:double>>, model_name string"
@@ -75,17 +76,62 @@ def test_pairs_equal_brute_force(spark, small):
     df = spark.createDataFrame(rows, "row_id bigint, split string, text string").selectExpr("*", "1 AS n", "'z' AS skeleton", "2 AS text_id")
     found = {(r.train_row, r.eval_row) for r in cross_split.cross_split_pairs(df).collect()}
     brute = _brute([r for r in rows if r[0] not in (402, 403)]) | {(402, 403)}
-    assert found <= brute and len(found) >= 0.97 * len(brute)
+    assert found == brute
     real = [(i, s, t) for i, s, t in duckdb.sql(f"SELECT row_id, split, text FROM '{small}/import_rows.parquet'").fetchall()]
     assert {tuple(sorted(p)) for p in _brute(real)} == {tuple(r) for r in cross_split.p4_found(spark, small).collect()}
     assert cross_split.cross_split_pairs(df.limit(0)).count() == 0
 
 
 def test_fingerprints_of_odd_texts():
-    simhash, keys, first, second = cross_split.fingerprints(["", "a", "abcabcabcabc" * 5000, "abcdefghijklmnopqrstu", "abcdefghijklmnopqrstu"])
-    assert len(keys[0]) == 0 and len(keys[2]) < 13 * len("abcabcabcabc" * 5000) and list(keys[3]) == list(keys[4])
-    assert (simhash[3] == simhash[4]).all() and all(len(a) == len(b) == len(c) for a, b, c in zip(keys, first, second, strict=True))
-    assert cross_split.fingerprints([])[0].shape == (0, 2)
+    texts = ["", "a", "abcabcabcabc" * 5000, "abcdefghijklmnopqrstu", "abcdefghijklmnopqrstu"]
+    sim = cross_split.simhashes(texts)
+    assert (sim[3] == sim[4]).all() and (sim[:2] == 0).all() and cross_split.simhashes([]).shape == (0, 2)
+    row, key, places = cross_split.paired_keys(texts)
+    assert len(row) == len(key) == len(places) < 12 * sum(map(len, texts)) and 0 not in row and list(key[row == 3]) == list(key[row == 4])
+    assert all(len(x) == 0 for x in cross_split.paired_keys([])) and all(len(x) == 0 for x in cross_split.even_keys([], cross_split._held))
+
+
+def _hurt(rng, text):
+    """As many random differences as a pair may have, each a changed, missing or further letter."""
+    out, n = list(text), 0
+    while n < len(text) // 10 - 1 or (n < len(text) // 10 and len(out) >= len(text)):
+        at = rng.randrange(len(out))
+        out[at : at + 1] = rng.choice([["ж"], [], [out[at], "ж"]])
+        n += 1
+    return "".join(out)
+
+
+def test_even_blocks_lose_no_pair():
+    """Every pair within one letter in ten shares a key, whatever the differences."""
+    rng = random.Random(5)
+    for n in list(range(20, cross_split.EVEN_BELOW)) * 25:
+        train = "".join(rng.choice("abcdefgh") for _ in range(n))
+        held = _hurt(rng, train) if rng.random() < 0.7 else "".join("ж" if i % (n // (n // 10)) == n // (n // 10) - 1 and i // (n // (n // 10)) < n // 10 else c for i, c in enumerate(train))
+        if edit_distance(train, held) <= max(len(train), len(held)) // 10:
+            assert set(cross_split.even_keys([train], cross_split._held)[1]) & set(cross_split.even_keys([held], cross_split._asked)[1]), (train, held)
+
+
+def test_recall_at_the_bound_by_length(spark):
+    """Pairs with exactly one letter in ten different, against brute force, for each class of lengths."""
+    rng = random.Random(9)
+    for low, high in ((20, 39), (40, 80), (81, 120), (200, 600)):
+        rows, due = [], set()
+        for i in range(150):
+            text = "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randrange(low, high + 1)))
+            held = _hurt(rng, text)
+            rows += [(2 * i, "train", text), (2 * i + 1, "test", held)]
+            if edit_distance(text, held) <= max(len(text), len(held)) // 10 and len(held) >= 20:
+                due.add((2 * i, 2 * i + 1))
+        found = {(r.train_row, r.eval_row) for r in cross_split.cross_split_pairs(spark.createDataFrame(rows, "row_id bigint, split string, text string")).collect()}
+        assert found <= due and len(found) >= (1 if high <= 80 else 0.98) * len(due) > 100, (low, len(found), len(due))
+
+
+def test_overlap_counts_equal_counted_pairs(spark, small):
+    rows = spark.read.parquet(f"{small}/import_rows.parquet")
+    source = rows.select("row_id", (F.col("row_id") % 3).cast("string").alias("source")).where("row_id % 5 > 0")
+    pairs = cross_split.cross_split_pairs(rows).join(source.withColumnRenamed("row_id", "eval_row"), "eval_row", "left")
+    want = pairs.groupBy("eval_split", "source").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_row").alias("n_rows"), F.countDistinct(F.when(F.col("same"), F.col("eval_row"))).alias("n_same_text"))
+    assert {tuple(r) for r in cross_split.overlap_counts(rows, source).collect()} == {tuple(r) for r in want.collect()} != set()
 
 
 RELEASE = "manuscript string, shelfmark string, text string"
