@@ -23,8 +23,9 @@ e е
 g ց ɡ
 h һ հ
 i і ι
-j ј ϳ
+j ј ϳ յ
 k к κ
+l ӏ
 n ո
 o о ο օ ⲟ
 p р ρ ⲣ
@@ -35,37 +36,55 @@ v ѵ ν
 w ԝ
 x х
 y у
-A А Α Ⲁ
-B В Β Ⲃ
-C С Ⲥ Ϲ
-E Е Ε Ⲉ
-H Н Η Ⲏ
-I І Ι Ⲓ
-J Ј
-K К Κ Ⲕ
-M М Μ Ⲙ
-N Ν Ⲛ
-O О Ο Օ Ⲟ
-P Р Ρ Ⲣ
-S Ѕ Տ
-T Т Τ Ⲧ
-U Ս
-X Х Χ Ⲭ
-Y Υ Ү Ⲩ
-Z Ζ Ⲍ
+A А Α Ⲁ Ꭺ ꓮ
+B В Β Ⲃ Ᏼ ꓐ
+C С Ⲥ Ϲ Ꮯ ꓚ
+D Ꭰ ꓓ
+E Е Ε Ⲉ Ꭼ ꓰ
+F Ϝ ꓝ
+G Ԍ Ꮐ ꓖ
+H Н Η Ⲏ Ꮋ ꓧ
+I І Ι Ⲓ Ӏ ꓲ
+J Ј Ꭻ ꓙ
+K К Κ Ⲕ Ꮶ ꓗ
+L Լ Ꮮ ꓡ
+M М Μ Ⲙ Ꮇ ꓟ
+N Ν Ⲛ ꓠ
+O О Ο Օ Ⲟ ꓳ
+P Р Ρ Ⲣ Ꮲ ꓑ
+Q Ԛ
+R Ꭱ ꓣ
+S Ѕ Տ Ꮪ ꓢ
+T Т Τ Ⲧ Ꭲ ꓔ
+U Ս ꓴ
+V Ѵ Ꮩ ꓦ
+W Ԝ Ꮃ ꓪ
+X Х Χ Ⲭ ꓫ
+Y Υ Ү Ⲩ ꓬ
+Z Ζ Ⲍ Ꮓ ꓜ
+Γ Г Ⲅ
+Π П Ⲡ
+Φ Ф Ⲫ
+Θ Ѳ Ⲑ
 : ։ ׃
 - ‐ ‑ −
 """.split("\n")
 _TWIN = {ch: line.split()[0] for line in LOOK_ALIKES if line for ch in line.split()[1:]}
 
-#: Invisible characters that Unicode calls default-ignorable, besides those of category Cf, as ranges.
-IGNORABLE_RANGES = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF))
+# The Default_Ignorable_Code_Point property, as ranges.
+IGNORABLE_RANGES = (
+    (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F),
+    (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+)
 
 
 def is_ignorable(ch: str) -> bool:
-    """Default-ignorable: drawn as nothing.  Control characters that are no white space count too."""
-    if unicodedata.category(ch) == "Cf" or (unicodedata.category(ch) == "Cc" and not ch.isspace()):
-        return True
+    """Default-ignorable: drawn as nothing.  Control characters that are no white space count too.
+
+    Format characters with a shape of their own (the Syriac abbreviation mark, the Arabic number sign) stay.
+    """
+    if unicodedata.category(ch) == "Cc":
+        return not ch.isspace()
     return any(a <= ord(ch) <= b for a, b in IGNORABLE_RANGES)
 
 

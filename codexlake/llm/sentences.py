@@ -1,10 +1,13 @@
 """Sentences of documents in mixed scripts: candidate boundaries and a maximum-entropy classifier.
 
-Candidates are the stops that the script around them uses.  What follows a candidate (small letter, digit,
-comma, blank line, ...) settles most of them.  A full stop before a capital may end a sentence or an
-abbreviation; there a logistic model of the token before it decides.  It is trained on reliable boundaries:
-stops at the end of a block are positive, stops before a small letter, comma or digit negative.  Token
-statistics cover all documents; the model is fitted on their sums by feature cell, a table of bounded size.
+Candidates are the stops that the script around them uses.  What the habits of a script fix (a small letter,
+digit or comma that follows, a blank line, a stop that has no other use) settles most of them.  A full stop
+before a capital may end a sentence or an abbreviation; there a logistic model of the token before it and the
+token after it decides.  The model of the token before is trained on reliable boundaries: stops at the end of a
+block are positive, stops before a small letter, comma or digit negative; its features are the token's length,
+case, digits, inner stops, script and how often it closes a block.  The token after adds the odds of its shape
+at the start of a block against the middle of a sentence.  Token statistics cover all documents; the model is
+fitted on their sums by feature cell, a table of bounded size.
 """
 
 from __future__ import annotations
@@ -12,33 +15,44 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexlake.runtime import table
+from codexlake.runtime import durable, table
 
-# Stops by script, and the marks that may stand between a stop and the next sentence.
+# Stops by script, stops that have no other use, and the marks that may stand between a stop and the
+# next sentence.
 STOPS = {"latin": ".?!…", "greek": ".;!…⁘\u037e", "armenian": "։", "syriac": ".܂؟܀", "coptic": "⳾·.", "other": ".?!…"}
+ALWAYS = "。！？｡．।॥።፧፨۔؟។။᙮᠃"
 CASELESS = frozenset({"syriac", "coptic", "armenian"})
-CLOSERS = "”»’\"')\\]“›"
-OPENERS = "“„«‘‚\"'([‹"
+CLOSERS = "”»’\"')\\]“›」』）】〉》"
+OPENERS = "“„«‘‚\"'([‹「『（【〈《"
 _SPACES = " \u00a0\u202f\u2009"
 
-_CANDIDATE = re.compile(rf"[.?!…;\u037e։·⁘⳾܂؟܀]+(?:[{CLOSERS}]|[{_SPACES}][»›])*")
+_CANDIDATE = re.compile(rf"[.?!…;\u037e։·⁘⳾܂܀{ALWAYS}]+(?:[{CLOSERS}]|[{_SPACES}][»›])*")
 _BLANK = re.compile(r"[^\S\n]*\n(?:[^\S\n]*\n)+\s*")
 _ITEM = re.compile(r"\d{1,4}\.\s+\S")
 _ROMAN = re.compile(r"[IVXLCDM]+")
 _DIGITS = re.compile(r"\d+")
-#: Longest token (in characters) that may be an abbreviation; longer ones are words.
-LONGEST = 6
-#: Odds that a capital after a stop speaks for a boundary, against the share of reliable cases.
-RIGHT_ODDS = 25.0
+_GAP = re.compile(r"\s*")
+_UPPER = "".join(c for c in map(chr, range(0x250)) if c.isupper()) + "Α-ΫἈ-Ὧ"
+#: Shapes of a capitalised token: an initial, several capitals, a short and a longer word.
+_SHAPES = re.compile(rf"(?:([{_UPPER}]\.)|([{_UPPER}]{{2}})|([{_UPPER}]\w{{0,2}}\b)|([{_UPPER}]\w))")
+_MID = re.compile(rf"(?<=[^\W\d_][ \n]){_SHAPES.pattern}|(?<=,[ \n]){_SHAPES.pattern}")
+_MID_SMALL = re.compile(r"(?<=[^\W\d_,][ \n])[^\W\d_]|(?<=,[ \n])[^\W\d_]")
+#: Tokens of more characters are words, whatever they look like.
+LONGEST = 64
+#: Letters of a token up to which its shape leaves open whether it is an abbreviation.
+SHORT = 6
 #: Tokens with fewer stops than this are judged by their shape alone.
 MIN_SEEN = 5
-#: More abbreviations than this are not sent to the executors one by one; the rest are judged by shape.
+#: The odds that a following token adds lie within this factor.
+MOST_ODDS = 50.0
+#: Tokens whose own counts overrule their shape travel to the executors up to this number; more are joined.
 MAX_LISTED = 100_000
 
 
@@ -60,97 +74,132 @@ def _script(ch: str) -> str:
 _SCRIPTS: dict[str, str] = {}
 
 
-def _script_before(text: str, at: int) -> str:
-    """Script of the nearest letter before a place, else of the nearest after it."""
-    j = at - 1
-    while j >= 0 and not text[j].isalpha():
-        j -= 1
-    if j < 0:
+class _Place:
+    """Scripts, tokens and line starts around the candidates of a text, worked out in one pass from left to right."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.seen = 0
+        self.script = ""
+        self.token = 0
+
+    def to(self, at: int) -> None:
+        """Move on to a place: the script of the nearest letter before it (else after it), and where its token begins."""
+        text = self.text
+        j = at - 1
+        while j >= self.seen and not text[j].isalpha():
+            j -= 1
+        if j >= self.seen:
+            self.script = self._of(text[j])
+        elif not self.script:
+            j = at
+            while j < len(text) and not text[j].isalpha():
+                j += 1
+            self.script = self._of(text[j]) if j < len(text) else "other"
         j = at
-        while j < len(text) and not text[j].isalpha():
-            j += 1
-        if j == len(text):
-            return "other"
-    ch = text[j]
-    if ch not in _SCRIPTS:
-        _SCRIPTS[ch] = _script(ch)
-    return _SCRIPTS[ch]
-
-
-def _token(text: str, at: int) -> tuple[str, int]:
-    """The token that ends at a place, without opening marks, and where it starts."""
-    s = at
-    least = max(0, at - 40)
-    while s > least and not text[s - 1].isspace():
-        s -= 1
+        while j > self.seen and not text[j - 1].isspace():
+            j -= 1
+        if j > self.seen or not at:
+            self.token = j
+        self.seen = at
+
+    @staticmethod
+    def _of(ch: str) -> str:
+        if ch not in _SCRIPTS:
+            _SCRIPTS[ch] = _script(ch)
+        return _SCRIPTS[ch]
+
+
+def _key(place: _Place, at: int) -> tuple[str, int]:
+    """The token that ends at a place as it is counted, and where it starts, without opening marks.
+
+    Digits are all alike, and so are tokens after a closing bracket and tokens too long to be abbreviations.
+    """
+    s = place.token
+    if at - s > LONGEST:
+        return "…", s
+    text = place.text
     while s < at and text[s] in OPENERS:
         s += 1
-    return text[s:at], s
+    token = text[s:at]
+    if token and not token[-1].isalnum():
+        return token[-1], s
+    return _DIGITS.sub("#", token), s
+
 
+def _starts_line(text: str, at: int) -> bool:
+    while at and text[at - 1] in " \t":
+        at -= 1
+    return not at or text[at - 1] == "\n"
 
-def _key(token: str) -> str:
-    """Token as it is counted: digits are all alike, and so are tokens after a closing bracket."""
-    if token and not (token[-1].isalnum()):
-        return token[-1]
-    return _DIGITS.sub("#", token)
 
+#: Shape of the number of an item that begins a line.
+ITEM = 5
 
-#: Kinds of right context: settled as no boundary, settled as boundary, or open.
+
+def _shape(text: str, at: int) -> int:
+    """Number of the shape of a capitalised token, 0 for any other token."""
+    m = _SHAPES.match(text, at)
+    return m.lastindex if m else 0
+
+
+#: Kinds of context: settled as no boundary, settled as boundary, or open.
 NO, YES, OPEN = 0, 1, 2
 
 
-def _judge(text: str, m: re.Match) -> tuple[int, str]:
-    """What the context of a candidate settles, and the key of the token before an open full stop."""
+def _judge(place: _Place, m: re.Match) -> tuple[int, str, tuple[str, int]]:
+    """What the context of a candidate settles, the key of the token before an open full stop, and the script and shape after it."""
     i, e = m.span()
-    script = _script_before(text, i)
+    place.to(i)
+    text, script, none = place.text, place.script, ("", 0)
     stop = text[i]
+    if stop in ALWAYS and (script == "other" or stop not in "؟"):
+        return YES, "", none
     if stop not in STOPS[script]:
-        return NO, ""
+        return NO, "", none
     n = len(text)
     inner = text[i - 1] if i else ""
     follows = text[e] if e < n else ""
     if script in CASELESS:
-        return (NO if stop == "." and inner.isdigit() and follows.isdigit() else YES), ""
+        return (NO if stop == "." and inner.isdigit() and follows.isdigit() else YES), "", none
     if stop == "⁘":
-        return YES, ""
+        return YES, "", none
     if not follows:
-        return YES, ""
+        return YES, "", none
     if not follows.isspace():
-        return NO, ""
+        return NO, "", none
     if stop == "…" and inner in "[(":
-        return NO, ""
-    j = e
-    while j < n and text[j].isspace():
-        j += 1
+        return NO, "", none
+    j = _GAP.match(text, e).end()
     if j == n:
-        return YES, ""
+        return YES, "", none
     k = j
     while k < n and (text[k] in OPENERS or text[k] in _SPACES):
         k += 1
     first = text[k] if k < n else ""
     if first.islower():
-        return NO, ""
+        return NO, "", none
     if first.isdigit():
-        if not ("\n" in text[e:j] and k == j and _ITEM.match(text, j)):
-            return NO, ""
+        if not (text.find("\n", e, j) >= 0 and k == j and _ITEM.match(text, j)):
+            return NO, "", none
     elif not first.isalpha() and first != "…":
-        return NO, ""
+        return NO, "", none
     if stop != "." or text.startswith("..", i):
-        return YES, ""
-    token, start = _token(text, i)
-    if token.isdigit() and (start == 0 or text[:start].rstrip(" \t").endswith("\n")):
-        return NO, ""
-    return OPEN, _key(token)
+        return YES, "", none
+    key, start = _key(place, i)
+    if text[start:i].isdigit() and _starts_line(text, start):
+        return NO, "", none
+    return OPEN, key, (script, ITEM if first.isdigit() else _shape(text, k))
 
 
 def _cell(key: str, seen: int, final: int) -> tuple[int, ...]:
-    """Features of a token: length, inner stop, case, numeral, digits, and how often it closes a block."""
+    """Features of a token: length, inner stop, case, numeral, digits, script, and how often it closes a block."""
     letters = sum(c.isalpha() for c in key)
     rate = round(np.log((final + 0.3) / (seen + 2.0))) if seen >= MIN_SEEN else -2
-    return (int(letters == 1), int(letters <= 2), int(letters <= 4), int("." in key), int(key[:1].isupper()), int(bool(_ROMAN.fullmatch(key))), int("#" in key), int(not key[-1:].isalnum()), max(-8, min(0, rate)))
+    return (int(letters == 1), int(letters <= 2), int(letters <= 4), int(letters > SHORT), int("." in key), int(key[:1].isupper()), int(bool(_ROMAN.fullmatch(key))), int("#" in key), int(not key[-1:].isalnum()), int(any(_script(c) == "greek" for c in key)), max(-8, min(0, rate)))
 
 
-_CELL_NAMES = ("one", "two", "four", "inner", "upper", "roman", "digits", "mark", "rate")
+_CELL_NAMES = ("one", "two", "four", "long", "inner", "upper", "roman", "digits", "mark", "greek", "rate")
 
 
 def fit(cells: np.ndarray, positive: np.ndarray, negative: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
@@ -170,107 +219,160 @@ def fit(cells: np.ndarray, positive: np.ndarray, negative: np.ndarray, rounds: i
     return w
 
 
+#: Score of what is certain.
+SURE = 30.0
+
+
+@dataclass(slots=True)
 class Model:
-    """The fitted weights, and the tokens that are known not to end a sentence."""
+    """The fitted weights, the odds of the token after a stop, and the tokens whose own counts overrule their shape."""
 
-    def __init__(self, weights: np.ndarray, decided: dict[str, bool]) -> None:
-        self.weights = weights
-        self.decided = decided
+    weights: np.ndarray
+    after: dict[tuple[str, int], float]
+    decided: dict[str, float] = field(default_factory=dict)
 
-    def ends(self, key: str) -> bool:
-        """Whether a full stop after this token and before a capital ends a sentence."""
-        return self.decided[key] if key in self.decided else self.shape(key)
+    def ends(self, key: str, following: tuple[str, int], decided: dict[str, float] | None = None) -> bool:
+        """Whether a full stop between these tokens ends a sentence."""
+        own = (self.decided if decided is None else decided).get(key)
+        return (self.shape(key) if own is None else own) + self.after.get(following, 0.0) > 0
 
-    def shape(self, key: str) -> bool:
-        """The same for a token of which too little was seen: plain words end sentences, the model judges the rest."""
+    def shape(self, key: str) -> float:
+        """Score of a token of which too little was seen: plain words end sentences, the model judges the rest."""
         letters = sum(c.isalpha() for c in key)
-        if letters > LONGEST and "." not in key:
-            return True
+        if key == "…" or (letters > SHORT and "." not in key):  # unless it is seen inside sentences, see ``own``
+            return SURE
         if key.isalpha() and letters > 1 and (key.islower() or letters > 3) and not _ROMAN.fullmatch(key):
-            return True
-        return self.odds(_cell(key, 0, 0))
+            return SURE
+        return self.score(_cell(key, 0, 0))
 
-    def own(self, key: str, seen: int, final: int, inside: int) -> bool:
+    def own(self, key: str, seen: int, final: int, inside: int) -> float:
         """The same by the token's own counts, where there are enough of them."""
+        if key == "…" or (not inside and sum(c.isalpha() for c in key) > SHORT):
+            return self.shape(key)
         if seen >= MIN_SEEN:
-            return self.odds(_cell(key, seen, final))
-        return self.shape(key) and not (inside and not final)
+            return self.score(_cell(key, seen, final))
+        return -SURE if inside and not final else self.shape(key)
+
+    def overrules(self, key: str, own: float) -> bool:
+        """Whether a token's own score decides otherwise than its shape for any token after it."""
+        shape = self.shape(key)
+        return any((own + x > 0) != (shape + x > 0) for x in self.after.values())
 
-    def odds(self, cell: tuple[int, ...]) -> bool:
-        return float(np.dot(self.weights, (1.0, *cell))) + np.log(RIGHT_ODDS) > 0
+    def score(self, cell: tuple[int, ...]) -> float:
+        return float(np.dot(self.weights, (1.0, *cell)))
 
 
-def _countable(key: str) -> bool:
-    return sum(c.isalpha() for c in key) <= LONGEST or "." in key
+_COUNTED = "kind string, key string, seen long, final long, inside long"
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """``key``, ``seen``, ``final``, ``inside`` of short tokens before a full stop, over all documents."""
+    """Counts over all documents, ``kind``, ``key``, ``seen``, ``final``, ``inside``.
+
+    Kind ``before``: tokens before a full stop, how often, at the end of a block, and surely inside a sentence.
+    Kind ``after``: shapes of tokens by script (``script:shape``), how often at the start of a block (``final``) and
+    in the middle of a sentence (``inside``).
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
+        shapes: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
                 if not text:
                     continue
+                place = _Place(text)
                 for m in _CANDIDATE.finditer(text):
                     i, e = m.span()
-                    if text[i] != "." or text.startswith("..", i) or _script_before(text, i) in CASELESS:
+                    place.to(i)
+                    if text[i] != "." or text.startswith("..", i) or place.script in CASELESS:
                         continue
-                    key = _key(_token(text, i)[0])
-                    if not key or not _countable(key):
+                    key = _key(place, i)[0]
+                    if not key:
                         continue
-                    rest = text[e : e + 40].lstrip()
-                    gap = text[e : e + 40][: len(text[e : e + 40]) - len(rest)]
-                    if not rest or gap.count("\n") > 1:
+                    j = _GAP.match(text, e).end()
+                    rest = text[j : j + 1]
+                    if not rest or text.count("\n", e, j) > 1:
                         counts[key, "final"] += 1
-                    elif gap and (rest[0].islower() or (rest[0].isdigit() and "\n" not in gap)) or rest[0] in ",:;":
+                    elif j > e and (rest.islower() or (rest.isdigit() and text.find("\n", e, j) < 0)) or rest in ",:;":
                         counts[key, "inside"] += 1
                     else:
                         counts[key, "open"] += 1
-        keys = {k for k, _ in counts}
-        yield pd.DataFrame([(k, sum(counts[k, x] for x in ("final", "inside", "open")), counts[k, "final"], counts[k, "inside"]) for k in keys], columns=["key", "seen", "final", "inside"])
-
-    return docs.select("text").mapInPandas(count, "key string, seen long, final long, inside long").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("seen", "final", "inside")])
-
-
-def train(docs: DataFrame) -> Model:
-    """Fit on the reliable boundaries of all documents."""
-    counts = token_counts(docs)
+                first = _GAP.match(text).end()
+                for at in [first, *(m.end() for m in _BLANK.finditer(text))]:
+                    if at < len(text) and (script := _Place._of(text[at])) in ("latin", "greek"):
+                        shapes[script, _shape(text, at), "final"] += 1
+                for m in _MID.finditer(text):
+                    shapes[_Place._of(m.group()[0]), (m.lastindex - 1) % 4 + 1, "inside"] += 1
+                for ch, n in Counter(_MID_SMALL.findall(text)).items():
+                    if ch.islower():
+                        shapes[_Place._of(ch), 0, "inside"] += n
+        rows = [("before", k, sum(counts[k, x] for x in ("final", "inside", "open")), counts[k, "final"], counts[k, "inside"]) for k in {k for k, _ in counts}]
+        rows += [("after", f"{a}:{b}", 0, shapes[a, b, "final"], shapes[a, b, "inside"]) for a, b in {x[:2] for x in shapes}]
+        yield pd.DataFrame(rows, columns=["kind", "key", "seen", "final", "inside"])
+
+    return docs.select("text").mapInPandas(count, _COUNTED).groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("seen", "final", "inside")])
+
+
+def _after_odds(rows: list, prior: float) -> dict[tuple[str, int], float]:
+    """Log odds of each script's shapes at the start of a block against the middle of a sentence.
+
+    ``prior`` corrects the odds of a boundary: stops inside a block are no reliable positives but mostly ends.
+    """
+    most = np.log(MOST_ODDS)
+    out = {("other", ITEM): prior + most, ("other", 0): prior}
+    for script in ("latin", "greek"):
+        held = {int(r.key.partition(":")[2]): (r.final, r.inside) for r in rows if r.key.startswith(script + ":")}
+        starts, middles = (sum(x[i] for x in held.values()) for i in (0, 1))
+        for shape in range(5):
+            start, middle = held.get(shape, (0, 0))
+            odds = np.log((start + 1.0) / (starts + 5.0)) - np.log((middle + 1.0) / (middles + 5.0)) if shape and starts and middles else 0.0
+            out[script, shape] = prior + float(np.clip(odds, -most, most))
+        out[script, ITEM] = prior + most
+    return out
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """Fit on the reliable boundaries of all documents: the model, and ``key``, ``score`` of the tokens that overrule their shape."""
+    known = durable(token_counts(docs))
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(*_cell(k, s, f), f, i, k, s) for k, s, f, i in zip(b["key"], b["seen"], b["final"], b["inside"], strict=True)]
-            yield pd.DataFrame(rows, columns=[*_CELL_NAMES, "final", "inside", "key", "seen"])
+            rows = [(*_cell(k, s, f), f, i) for k, s, f, i in zip(b["key"], b["seen"], b["final"], b["inside"], strict=True)]
+            yield pd.DataFrame(rows, columns=[*_CELL_NAMES, "final", "inside"])
 
-    schema = ", ".join(f"{c} int" for c in _CELL_NAMES) + ", final long, inside long, key string, seen long"
-    known = counts.mapInPandas(cells, schema).persist()
-    summed = known.groupBy(*_CELL_NAMES).agg(F.sum("final").alias("final"), F.sum("inside").alias("inside")).toPandas()
+    before = known.where("kind = 'before'")
+    schema = ", ".join(f"{c} int" for c in _CELL_NAMES) + ", final long, inside long"
+    summed = before.mapInPandas(cells, schema).groupBy(*_CELL_NAMES).agg(F.sum("final").alias("final"), F.sum("inside").alias("inside")).toPandas()
     if summed["final"].sum() and summed["inside"].sum():
         weights = fit(summed[list(_CELL_NAMES)].to_numpy(), summed["final"].to_numpy(float), summed["inside"].to_numpy(float))
     else:
         weights = np.array([3.0, -8.0, *[0.0] * (len(_CELL_NAMES) - 1)])
-    model = Model(weights, {})
+    total = before.agg(F.sum("seen"), F.sum("final"), F.sum("inside")).first()
+    prior = float(np.log(max(1.0, (total[0] - total[2]) / total[1]))) if total[1] else 0.0
+    model = Model(weights, _after_odds(known.where("kind = 'after'").collect(), prior))
 
     def verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            own = [model.own(*r) for r in zip(x["key"], x["seen"], x["final"], x["inside"], strict=True)]
-            listed = [o != model.shape(k) for o, k in zip(own, x["key"], strict=True)]
-            yield pd.DataFrame({"key": x["key"], "seen": x["seen"], "ends": own})[listed]
+            own = np.array([model.own(*r) for r in zip(x["key"], x["seen"], x["final"], x["inside"], strict=True)])
+            listed = [model.overrules(k, o) for o, k in zip(own, x["key"], strict=True)]
+            yield pd.DataFrame({"key": x["key"], "score": own})[listed]
 
-    # Only tokens whose own counts overrule their shape are listed.
-    listed = known.select("key", "seen", "final", "inside").mapInPandas(verdicts, "key string, seen long, ends boolean").orderBy(F.desc("seen"), "key").limit(MAX_LISTED).collect()
-    model.decided = {r.key: r.ends for r in listed}
-    known.unpersist()
-    return model
+    return model, before.select("key", "seen", "final", "inside").mapInPandas(verdicts, "key string, score double")
 
 
-def spans(text: str, model: Model) -> tuple[list[int], list[int]]:
+def open_keys(text: str) -> list[str]:
+    """Distinct tokens of a text on which the model has to decide."""
+    place = _Place(text)
+    return sorted({key for verdict, key, _ in (_judge(place, m) for m in _CANDIDATE.finditer(text)) if verdict == OPEN})
+
+
+def spans(text: str, model: Model, decided: dict[str, float] | None = None) -> tuple[list[int], list[int]]:
     """Starts and ends of the sentences of a text; together they cover all but white space."""
     cuts = [m.start() for m in _BLANK.finditer(text)]
+    place = _Place(text)
     for m in _CANDIDATE.finditer(text):
-        verdict, key = _judge(text, m)
-        if verdict == YES or (verdict == OPEN and model.ends(key)):
+        verdict, key, following = _judge(place, m)
+        if verdict == YES or (verdict == OPEN and model.ends(key, following, decided)):
             cuts.append(m.end())
     cuts.append(len(text))
     starts, ends, at = [], [], 0
@@ -294,13 +396,27 @@ def split_sentences(docs: DataFrame) -> DataFrame:
     whole; repeated rows give repeated spans; other columns are ignored; an empty table gives an empty result.
     """
     read = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    model = train(read)
+    model, listed = train(read)
+    some = listed.limit(MAX_LISTED + 1).collect()
+    kind = "s array<int>, e array<int>"
 
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        out = [spans(t, model) for t in texts]
+    def table_of(out: list) -> pd.DataFrame:
         return pd.DataFrame({"s": [np.array(a, dtype=np.int32) for a, _ in out], "e": [np.array(b, dtype=np.int32) for _, b in out]})
 
-    found = read.select("doc_id", F.pandas_udf(cut, "s array<int>, e array<int>")("text").alias("x"))
+    if len(some) <= MAX_LISTED:
+        model.decided = {r.key: r.score for r in some}
+        found = read.select("doc_id", F.pandas_udf(lambda texts: table_of([spans(t, model) for t in texts]), kind)("text").alias("x"))
+    else:
+        # The same by joins: each text, once, meets the scores of its own open tokens.
+        digest = F.md5("text").alias("digest")
+        keys = F.pandas_udf(lambda texts: texts.map(open_keys), "array<string>")
+        asked = read.select(digest, "text").dropDuplicates(["digest"]).select("digest", F.explode(keys("text")).alias("key"))
+        scores = asked.join(listed, "key").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("key", "score"))).alias("scores"))
+
+        def cut(texts: pd.Series, given: pd.Series) -> pd.DataFrame:
+            return table_of([spans(t, model, dict(g) if g is not None else {}) for t, g in zip(texts, given, strict=True)])
+
+        found = read.select("doc_id", "text", digest).join(scores, "digest", "left").select("doc_id", F.pandas_udf(cut, kind)("text", "scores").alias("x"))
     return found.select("doc_id", F.explode(F.arrays_zip(F.col("x.s").alias("s"), F.col("x.e").alias("e"))).alias("z")).select("doc_id", F.col("z.s").cast("bigint").alias("sent_start"), F.col("z.e").cast("bigint").alias("sent_end"))
 
 

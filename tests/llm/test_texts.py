@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -181,15 +182,42 @@ SENTENCES = [
     ("Բառ. մէկ։ Երկու", ["Բառ. մէկ։", "Երկու"]),
     ("ܐܒ. ܓܕ܃ ܗ 3.5 ܘ؟ ܙ܀", ["ܐܒ.", "ܓܕ܃ ܗ 3.5 ܘ؟", "ܙ܀"]),
     ("ⲁⲃ·ⲅⲇ⳾ⲉ:ⲍ.ⲏ", ["ⲁⲃ·", "ⲅⲇ⳾", "ⲉ:ⲍ.", "ⲏ"]),
+    ("他来了。她走了！「真的？」他问。", ["他来了。", "她走了！", "「真的？」", "他问。"]),
+    ("यह एक है। वह दो है॥", ["यह एक है।", "वह दो है॥"]),
+    ("ሰላም።እንዴት፧", ["ሰላም።", "እንዴት፧"]),
     ("see (ibid.). The next [sic!], and on. […] End", ["see (ibid.).", "The next [sic!], and on.", "[…] End"]),
 ]
 
 
+def _trained(df):
+    model, listed = sentences.train(df)
+    model.decided = {r.key: r.score for r in listed.collect()}
+    return model
+
+
+def test_joined_scores_give_the_same_spans(spark, small, monkeypatch):
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "Null id. Here."), (5, None), (6, "")], "doc_id bigint, text string"))
+    sent = {tuple(r) for r in sentences.split_sentences(df).collect()}
+    monkeypatch.setattr(sentences, "MAX_LISTED", 0)
+    assert {tuple(r) for r in sentences.split_sentences(df).collect()} == sent
+
+
+def test_scan_is_linear():
+    model = sentences.Model(np.array([3.0, -8.0, *[0.0] * 10]), {})
+    took = []
+    for text in ("1. " * 30_000, "a.b" * 30_000, ". " * 40_000, "(" * 100_000, "x" * 200_000 + ". Y", " . \n" * 30_000):
+        began = time.time()
+        sentences.spans(text, model)
+        sentences.open_keys(text)
+        took.append(time.time() - began)
+    assert max(took) < 3, took
+
+
 def test_sentences_by_script(spark):
     corpus = ["He is here. The day ends. Dr. Who saw it. It was late.\n\nIt rained. Dr. No left, e.g. at 5. M. Roe came at night.\n\nThe end came. He saw Dr. Who again, e.g. now."] * 30
     texts = [t for t, _ in SENTENCES]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + corpus)], "doc_id bigint, text string")
-    model = sentences.train(df)
+    model = _trained(df)
     for text, expected in SENTENCES:
         starts, ends = sentences.spans(text, model)
         assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == expected
@@ -215,7 +243,7 @@ def test_spans_cover_all_text(spark, small):
 def test_held_out_boundaries(spark, small):
     """The model, fitted on two thirds of the documents, settles held-out block ends as boundaries."""
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    model = sentences.train(docs.where("doc_id % 3 <> 0"))
+    model = _trained(docs.where("doc_id % 3 <> 0"))
     right = seen = 0
     for r in docs.where("doc_id % 3 = 0").collect():
         blocks = [b for b in sentences._BLANK.split(r.text.strip()) if b]
