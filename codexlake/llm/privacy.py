@@ -59,6 +59,8 @@ class Rule:
     lowers: regex.Pattern | None = None
     loss: float = 0.7
     check: Callable[[str], float] | None = None
+    #: What a text must hold for the pattern to be tried at all.
+    needs: regex.Pattern = regex.compile(r"\d")
 
 
 def _p(pattern: str, flags: int = 0) -> regex.Pattern:
@@ -100,7 +102,7 @@ RULES: tuple[Rule, ...] = (
     Rule(
         "email",
         _p(
-            rf"""(?<![\p{{L}}\d])[\p{{L}}\d](?:[\p{{L}}\d._%+-]*[\p{{L}}\d_+-])?
+            rf"""(?<![\p{{L}}\d])[\p{{L}}\d](?:[\p{{L}}\d._%+-]{{0,62}}[\p{{L}}\d_+-])?
             \s?(?:@|[(\[{{<]\s?(?:at|@|ät)\s?[)\]}}>]|\s(?:AT|at)\s(?=\S+\s(?:dot|DOT|\(dot))) \s?
             [\p{{L}}\d](?:[\p{{L}}\d-]*[\p{{L}}\d])?
             (?:\s?(?:\.|[(\[{{<]\s?(?:dot|punkt|point)\s?[)\]}}>]|\s(?:dot|DOT)\s)\s?(?!(?:{_FILE_ENDINGS})\b)[\p{{L}}\d](?:[\p{{L}}\d-]*[\p{{L}}\d])?)*?
@@ -108,6 +110,7 @@ RULES: tuple[Rule, ...] = (
             regex.I,
         ),
         0.9,
+        needs=regex.compile(r"@|[(\[{<\s](?:at|ät)[)\]}>\s]", regex.I),
     ),
     Rule("phone", _p(r"(?<![\p{L}\d.,:/\#=_-])(?:\+|\(\+?)?\d(?:[ .()/-]{0,2}\d){8,14}(?![\p{L}\d]|[.,:/-]\d)"), 0.4, _CALL, 0.3, _TECHNICAL, 0.8, _phone_shape),
     Rule("identity", _p(r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d-])"), 0.6, _IDENTITY, 0.3, _TECHNICAL),
@@ -133,7 +136,7 @@ _PARTICLE = r"(?:(?i:von|van|de|der|den|del|della|du|di|da|le|la|zu|zum|ter|bin|
 
 
 def _name(word: str) -> str:
-    initial = r"\p{L}\.(?:\s?\p{L}\.)*"
+    initial = r"\p{L}\.(?:\s?\p{L}\.){0,3}"
     return rf"{_TITLE}(?:{_PARTICLE}{word},\s+(?:{initial}|{word})|(?:{initial}|{word}(?:\s+{initial})?)\s+{_PARTICLE}{word}(?:\s+{_CAP})?)"
 
 
@@ -178,7 +181,12 @@ def find_spans(text: str, context: str = "") -> list[tuple[str, int, int, float]
     """Kept spans ``(kind, start, end, score)`` in order; ``context`` are words that stand before the text."""
     plain = text if text.isascii() else _plain(text)
     proposed = []
+    held: dict[regex.Pattern, bool] = {}
     for rule in RULES:
+        if rule.needs not in held:
+            held[rule.needs] = rule.needs.search(plain) is not None
+        if not held[rule.needs]:
+            continue
         for m in rule.pattern.finditer(plain):
             score = rule.base + (rule.check(m.group()) if rule.check else 0.0)
             before, after = (context + " " + plain[max(0, m.start() - WINDOW) : m.start()])[-WINDOW - len(context) :], plain[m.end() : m.end() + WINDOW]

@@ -39,6 +39,13 @@ def test_routes_and_checks():
     assert privacy.mod97("GB82WEST12345698765432") and privacy.mod11_10("86095742719") and not privacy.mod11_10("86095742718")
 
 
+def test_proposals_are_linear():
+    for text in ("a." * 20_000, "a@" * 10_000, "1 " * 20_000, "Aa " * 20_000, "A. " * 20_000, "a at b dot " * 2_000):
+        began = time.time()
+        privacy.find_spans(text)
+        assert time.time() - began < 8, text[:12]
+
+
 def test_notes_edge_cases(spark, collected):
     long = "word " * 40_000 + "mail me: a@b.example"
     rows = [("1", "a@b.example", None, 5), ("1", "a@b.example", None, 5), ("2", None, "/invite/x.y@z.example", 5), ("3", "", "", 5), (None, "a@b.example", None, 5), ("4", long, None, 5)]
