@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_sum(df: DataFrame, by: Sequence[str], order: str, value: str, name: str, buckets: int = 256) -> DataFrame:
+#: Rows that a range should hold, and bits of the range number at most: totals of a group are summed in one task.
+RANGE_ROWS = 200_000
+MOST_BITS = 20
+
+
+def prefix_sum(df: DataFrame, by: Sequence[str], order: str, value: str, name: str, rows: int | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows before each one, in the order of a hash column.
 
     ``order`` is a bigint spread evenly, such as ``xxhash64``; ties are broken by nothing, so it should be
-    unique within ``by``.  A group is cut into ``buckets`` ranges of the hash: totals of the ranges are summed
-    up first, then each range on its own, so a group holding a third of all rows still spreads over ``buckets``
-    tasks.  Null values count as 0.
+    unique within ``by``.  A group is cut into ranges of the hash: totals of the ranges are summed up first, then
+    each range on its own, so a group holding a third of all rows still spreads over many tasks.  ``rows``: rows of
+    the largest group, if known; there are as many ranges as leave about ``RANGE_ROWS`` rows to each, 256 at least.
+    Null values count as 0.
     """
-    bits = max(1, (buckets - 1).bit_length())
+    bits = min(MOST_BITS, max(8, ((rows or 0) // RANGE_ROWS).bit_length()))
     # The sign bit is flipped so that the unsigned range number follows the signed order.
     ranged = df.withColumn("__range", F.shiftrightunsigned(F.col(order).bitwiseXOR(F.lit(-(2**63)).cast("bigint")), 64 - bits)).withColumn("__value", F.coalesce(F.col(value), F.lit(0)).cast("bigint"))
     totals = ranged.groupBy(*by, "__range").agg(F.sum("__value").alias("__total"))
