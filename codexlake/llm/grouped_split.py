@@ -16,10 +16,8 @@ from codexlake.runtime import durable, table
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 #: A group with a larger share of all records is placed by itself; there can be at most 1/BIG_SHARE of them.
 BIG_SHARE = 0.005
-#: Labels are a classification; more distinct ones than this mean that the column is no label.
+#: Strata of their own; rarer labels share one, so that the plan stays small whatever the labels are.
 MAX_LABELS = 1_000
-#: Token counts that slugs may have.
-MAX_SLUG_TOKENS = 8
 
 
 def slug_key(column: str) -> Column:
@@ -45,22 +43,18 @@ def codices(lines: DataFrame) -> DataFrame:
 def codex_of_rows(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """``row_id`` and ``codex`` of the rows whose image reference contains the slug of a known manuscript.
 
-    All runs of up to ``MAX_SLUG_TOKENS`` tokens of the reference (of the lengths that slugs really have) are
-    looked up; the longest known slug counts, among equals the first.
+    All runs of tokens of the reference, of the lengths that slugs really have, are looked up; the longest known
+    slug counts, among equals the first.
     """
     known = durable(codices(lines))
-    lengths = sorted(r.k for r in known.select(F.size(F.split("slug", "-")).alias("k")).distinct().limit(MAX_SLUG_TOKENS + 1).collect())
-    if len(lengths) > MAX_SLUG_TOKENS:
-        raise ValueError("slugs have too many different lengths")
+    lengths = sorted(r.k for r in known.select(F.size(F.split("slug", "-")).alias("k")).distinct().collect())
     tokens = F.split(slug_key("source_image"), "-")
     parts = rows.where(F.col("row_id").isNotNull() & F.col("source_image").isNotNull()).select("row_id", tokens.alias("t"))
 
-    def runs(k: int) -> Column:
-        return F.expr(f"transform(filter(sequence(1, greatest(size(t) - {k - 1}, 1)), i -> i + {k - 1} <= size(t)), i -> struct({k} AS k, i AS i, array_join(slice(t, i, {k}), '-') AS slug))")
-
     if not lengths:
         return parts.select("row_id", F.lit(None).cast("string").alias("codex")).where(F.lit(False))
-    windows = parts.select("row_id", F.explode(F.concat(*[runs(k) for k in lengths])).alias("w")).select("row_id", "w.k", "w.i", "w.slug")
+    runs = F.expr(f"flatten(transform(filter(array({', '.join(map(str, lengths))}), k -> k <= size(t)), k -> transform(sequence(1, size(t) - k + 1), i -> struct(k AS k, i AS i, array_join(slice(t, i, k), '-') AS slug))))")
+    windows = parts.select("row_id", F.explode(runs).alias("w")).select("row_id", "w.k", "w.i", "w.slug")
     hits = windows.join(known, "slug")
     return hits.groupBy("row_id").agg(F.max(F.struct("k", (-F.col("i")).alias("first"), "codex")).alias("h")).select("row_id", F.col("h.codex").alias("codex"))
 
@@ -73,10 +67,13 @@ def assign_groups(sizes: DataFrame, shares: Mapping[str, float] = SHARES, seed:
     laid out by seeded hash within the stratum of their main label and cut where the running total passes
     what each split still lacks there, so a stratum deviates by less than one small group a cut.
     """
-    sizes = durable(sizes.groupBy("grp", F.coalesce("label", F.lit("")).alias("label")).agg(F.sum("n").alias("n")))
-    totals = {r.label: r.n for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_LABELS + 1).collect()}
-    if len(totals) > MAX_LABELS:
-        raise ValueError("too many labels")
+    labelled = durable(sizes.groupBy("grp", F.coalesce("label", F.lit("")).alias("label")).agg(F.sum("n").alias("n")))
+    common = labelled.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS + 1).collect()
+    sizes = labelled
+    if len(common) > MAX_LABELS:
+        named = F.col("label").isin([r.label for r in common[:MAX_LABELS]])
+        sizes = durable(labelled.groupBy("grp", F.when(named, F.col("label")).otherwise(F.lit("(rest)")).alias("label")).agg(F.sum("n").alias("n")))
+    totals = {r.label: r.n for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     everything = sum(totals.values())
     whole = sizes.groupBy("grp").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("m")).select("grp", "size", F.col("m.label").alias("label"))
     big = whole.where(F.col("size") > BIG_SHARE * everything).select("grp", "size")
@@ -96,8 +93,9 @@ def assign_groups(sizes: DataFrame, shares: Mapping[str, float] = SHARES, seed:
             held[best, x] += n
 
     small = whole.join(big.select("grp"), "grp", "left_anti").withColumn("h", F.xxhash64(F.lit(seed), F.col("grp")))
-    run = prefix_sum(small, ["label"], "h", "size", "before")
-    rest = {r.label: r.n for r in small.groupBy("label").agg(F.sum("size").alias("n")).collect()}
+    held_small = small.groupBy("label").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("groups")).collect()
+    run = prefix_sum(small, ["label"], "h", "size", "before", max((r.groups for r in held_small), default=0))
+    rest = {r.label: r.n for r in held_small}
     cut = F.lit(None).cast("string")
     middle = F.col("before") + F.col("size") / 2
     for label, n in sorted(rest.items()):

@@ -3,7 +3,8 @@
 Each source is a stream of blocks of equal token count.  In a frame of slots, block ``k`` of a source with
 weight ``w`` is released at slot ``floor(k/w)`` and due by ``ceil((k+1)/w)``; the earliest deadline among the
 released blocks goes first, which keeps every source within one block of its share at any point.  A frame is
-planned once and repeated, so the plan's size depends on the number of sources, not on the data.
+planned once and repeated, so the plan's size depends on the number of sources, not on the data.  A document
+runs on from block to block of its source, so every block holds exactly its tokens.
 """
 
 from __future__ import annotations
@@ -97,15 +98,15 @@ def counted(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) ->
 
 
 def mix(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
-    """The mixture: ``slot``, ``slot_offset``, ``source``, ``doc_id``, ``repeat``, ``n_tokens``.
+    """The mixture in pieces of documents: ``slot``, ``slot_offset``, ``source``, ``doc_id``, ``repeat``, ``token_start``, ``n_tokens``.
 
     ``tokens``: ``doc_id``, ``source``, ``n_tokens``; ``targets``: ``source``, ``target_share``, ``max_repeats``,
-    a small table by nature.  Ordered by ``slot`` and ``slot_offset`` the rows are the mixed stream.  Without
-    ``total_tokens`` the mixture is the largest that meets every share within the caps; with it, a source too
-    small for its quota gives all it may, ``max_repeats`` times each document.  Documents follow in a seeded
-    order that differs from pass to pass; a document ends its source's quota where it passes it, so a source
-    misses its quota by less than one document.  Null sources, shares and sizes count as absent; empty tables
-    give an empty mixture.
+    a small table by nature.  Ordered by ``slot`` and ``slot_offset`` the rows are the mixed stream; a document
+    that passes the end of a block goes on in its source's next one, and a source's last document is cut at its
+    quota, so after any slot every source is within one block of its share.  Without ``total_tokens`` the mixture
+    is the largest that meets every share within the caps; with it, a source too small for its quota gives all it
+    may, ``max_repeats`` times each document.  Documents follow in a seeded order that differs from pass to pass.
+    Null sources, shares and sizes count as absent; empty tables give an empty mixture.
     """
     tokens = tokens.select("doc_id", "source", "n_tokens").where("doc_id IS NOT NULL AND source IS NOT NULL AND n_tokens > 0")
     aims: dict[str, tuple[float, int]] = {}
@@ -113,11 +114,12 @@ def mix(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None,
         if r.source in aims:
             raise ValueError(f"two targets for {r.source}")
         aims[r.source] = (r.target_share, r.max_repeats if r.max_repeats is not None else 1)
-    sizes = {r.source: r.n for r in tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    held = tokens.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
+    sizes = {r.source: r.n for r in held}
     most, shares = largest_total(sizes, aims)
     spark = tokens.sparkSession
     if not shares:
-        return tokens.select(F.lit(0).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("slot_offset"), "source", "doc_id", F.lit(0).alias("repeat"), "n_tokens").where(F.lit(False))
+        return tokens.select(F.lit(0).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("slot_offset"), "source", "doc_id", F.lit(0).alias("repeat"), F.lit(0).cast("bigint").alias("token_start"), "n_tokens").where(F.lit(False))
     total = most if total_tokens is None else float(total_tokens)
     frame, counts = frame_counts(shares)
     rows = [(s, float(sizes[s]), total * w, min(aims[s][1], ceil(total * w / sizes[s] - 1e-9)), counts[s]) for s, w in sorted(shares.items())]
@@ -126,11 +128,14 @@ def mix(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None,
 
     copies = tokens.join(F.broadcast(quotas), "source").withColumn("repeat", F.explode(F.sequence(F.lit(1), "passes")))
     copies = copies.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "repeat"))
-    placed = prefix_sum(copies, ["source", "repeat"], "h", "n_tokens", "before").withColumn("at", F.col("before") + (F.col("repeat") - 1) * F.col("size").cast("bigint"))
-    placed = placed.where(F.col("at") < F.col("quota") - 0.5)
-    block = F.floor(F.col("at") / BLOCK_TOKENS)
-    placed = placed.select("source", "doc_id", "repeat", "n_tokens", (F.col("at") % BLOCK_TOKENS).alias("slot_offset"), F.floor(block / F.col("per_frame")).alias("frame"), (block % F.col("per_frame")).cast("int").alias("block_in_frame"))
-    return placed.join(F.broadcast(plan), ["source", "block_in_frame"]).select((F.col("frame") * frame + F.col("slot_in_frame")).alias("slot"), "slot_offset", "source", "doc_id", "repeat", "n_tokens")
+    placed = prefix_sum(copies, ["source", "repeat"], "h", "n_tokens", "before", max(r.docs for r in held)).withColumn("at", F.col("before") + (F.col("repeat") - 1) * F.col("size").cast("bigint"))
+    placed = placed.withColumn("quota", F.round("quota").cast("bigint")).where("at < quota").withColumn("end", F.least(F.col("at") + F.col("n_tokens"), F.col("quota")))
+    first, last = (F.floor(x / BLOCK_TOKENS) for x in (F.col("at"), F.col("end") - 1))
+    pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
+    start, stop = F.greatest("at", F.col("block") * BLOCK_TOKENS), F.least("end", (F.col("block") + 1) * BLOCK_TOKENS)
+    frame_of = F.floor(F.col("block") / F.col("per_frame"))
+    pieces = pieces.select("source", "doc_id", "repeat", (start - F.col("at")).alias("token_start"), (stop - start).alias("n_tokens"), (start % BLOCK_TOKENS).alias("slot_offset"), frame_of.alias("frame"), (F.col("block") - frame_of * F.col("per_frame")).cast("int").alias("block_in_frame"))
+    return pieces.join(F.broadcast(plan), ["source", "block_in_frame"]).select((F.col("frame") * frame + F.col("slot_in_frame")).alias("slot"), "slot_offset", "source", "doc_id", "repeat", "token_start", "n_tokens")
 
 
 def share_report(mixture: DataFrame, tokens: DataFrame, targets: DataFrame) -> DataFrame:
@@ -158,3 +163,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
     tokens = counted(table(spark, sf_dir, "documents"), targets)
     return share_report(mix(tokens, targets), tokens, targets)
+
+
+def p8_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached by a mixture as large as the corpus, where small sources run into their caps."""
+    targets = table(spark, sf_dir, "mix_targets")
+    tokens = counted(table(spark, sf_dir, "documents"), targets)
+    return share_report(mix(tokens, targets, tokens.agg(F.sum("n_tokens")).first()[0] or 0), tokens, targets)

@@ -18,6 +18,7 @@ QUERIES = {
     "p7_paraphrases": leaks.p7_paraphrases,
     "p8_mixture": mixing.p8_mixture,
     "p8_shares": mixing.p8_shares,
+    "p8_full_shares": mixing.p8_full_shares,
     "p9_found": sentences.p9_found,
 }
 

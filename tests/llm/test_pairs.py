@@ -159,6 +159,17 @@ def test_assignment_keeps_groups_and_shares(spark):
     assert grouped_split.assign_groups(spark.createDataFrame([], "grp string, label string, n bigint")).count() == 0
 
 
+def test_many_labels_and_slug_lengths(spark, monkeypatch):
+    monkeypatch.setattr(grouped_split, "MAX_LABELS", 3)
+    sizes = [(f"g{i}", f"l{i % 40}", 1 + i % 5) for i in range(2000)]
+    out = grouped_split.assign_groups(spark.createDataFrame(sizes, "grp string, label string, n bigint")).collect()
+    of = {r.grp: r.assigned for r in out}
+    assert len(of) == len(out) == 2000 and all(abs(sum(n for g, _, n in sizes if of[g] == s) / sum(n for *_, n in sizes) - w) < 0.02 for s, w in grouped_split.SHARES.items())
+    lines = spark.createDataFrame([("-".join(["m", *map(str, range(k))]), None, "t") for k in range(1, 13)], RELEASE)
+    rows = spark.createDataFrame([(k, "x/" + "_".join(["M", *map(str, range(k))]) + ".png") for k in range(1, 13)], "row_id bigint, source_image string")
+    assert len({r.codex for r in grouped_split.codex_of_rows(rows, lines).collect()}) == 12
+
+
 def test_torn_rows_equal_brute_force(spark, small):
     rows = grouped_split.codex_of_rows(spark.read.parquet(f"{small}/import_rows.parquet"), spark.read.parquet(f"{small}/release_lines.parquet")).collect()
     codex = {r.row_id: r.codex for r in rows}

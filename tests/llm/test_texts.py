@@ -3,6 +3,7 @@
 import itertools
 import random
 import time
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -168,7 +169,7 @@ def test_mixture_meets_shares_and_caps(spark, collected):
     whole = sum(r.n_tokens for r in m)
     for s, share, cap in (("a", 0.3, 2), ("b", 0.5, 3), ("c", 0.2, 1)):
         assert abs(sum(r.n_tokens for r in m if r.source == s) / whole - share) < 0.003 and max(r.repeat for r in m if r.source == s) <= cap
-    assert len({(r.doc_id, r.repeat) for r in m}) == len(m) and {r.source for r in m} == {"a", "b", "c"}
+    assert len({(r.doc_id, r.repeat, r.token_start) for r in m}) == len(m) and {r.source for r in m} == {"a", "b", "c"}
     report = {r.source: r for r in mixing.share_report(mixing.mix(df, targets), df, targets).collect()}
     assert report["gone"].actual_share == 0 and abs(report["b"].actual_share - 0.5) < 0.003
     forced = mixing.mix(df, targets, total_tokens=3 * whole).groupBy("source").max("repeat").collect()
@@ -176,6 +177,25 @@ def test_mixture_meets_shares_and_caps(spark, collected):
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
 
 
+def test_running_deviation_in_tokens(spark):
+    """After every slot each source is within one block of its share, however long its documents are."""
+    docs = [(0, "long", 20_000), (1, "long", 3), (2, "long", 9_999)] + [(10 + i, "short", 700 + i) for i in range(60)] + [(100 + i, "mid", 4096) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
+    shares = {"long": 0.4, "short": 0.35, "mid": 0.25}
+    targets = spark.createDataFrame([(s, w, 4) for s, w in shares.items()], "source string, target_share double, max_repeats int")
+    rows = sorted(mixing.mix(df, targets).collect())
+    given, seen, size = dict.fromkeys(shares, 0), defaultdict(list), {i: n for i, _, n in docs}
+    for slot, pieces in itertools.groupby(rows, key=lambda r: r.slot):
+        for r in pieces:
+            assert r.slot_offset == sum(x.n_tokens for x in rows if x.slot == slot and x.slot_offset < r.slot_offset)
+            given[r.source] += r.n_tokens
+            seen[r.doc_id, r.repeat].append((r.token_start, r.n_tokens))
+        assert all(abs(given[s] - w * mixing.BLOCK_TOKENS * (slot + 1)) < mixing.BLOCK_TOKENS + 1 for s, w in shares.items()) or slot > max(r.slot for r in rows) - 4
+    assert all(abs(given[s] - w * sum(given.values())) <= 2 for s, w in shares.items())
+    cut = [k for k, x in seen.items() if sum(n for _, n in x) != size[k[0]]]
+    assert len(cut) <= len(shares) and all(a + n == b for x in seen.values() for (a, n), (b, _) in itertools.pairwise(sorted(x)))
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,)], "text string")
     assert [r.n for r in df.select(mixing.count_tokens("text").alias("n")).collect()] == [3, 0, None]
