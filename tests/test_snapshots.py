@@ -3,8 +3,9 @@ import random
 from collections import defaultdict
 
 import duckdb
-from codexlake.operators.snapshots import merkle_diff, number_versions
+from codexlake.operators.snapshots import _depth, merkle_diff, number_versions
 from codexlake.plans.page_history import history_changes, line_digests, p1_found
+from pyspark.sql import functions as F
 
 
 def brute(data):
@@ -30,7 +31,7 @@ def test_merkle_equals_brute_force(spark, collected):
             data[g, v] = rows if not (g == "c" and v == 2) else {}
     rows = spark.createDataFrame([(g, v, k, d, "extra") for (g, v), r in data.items() for k, ds in r.items() for d in ds], "grp string, version int, row_key string, digest string, node string")
     versions = spark.createDataFrame(list(data), "grp string, version int")
-    for levels in (1, 2, 3):
+    for levels in (None, 0, 1, 2, 3):
         found = merkle_diff(rows, versions, ["grp"], levels=levels).select("grp", "pair", "row_key", "change_kind")
         assert collected(found) == brute(data)
 
@@ -43,6 +44,24 @@ def test_merkle_edge_cases(spark, collected):
     assert collected(merkle_diff(rows, versions, ["grp"]).select("row_key", "change_kind")) == [("e", "added"), ("k", "changed")]
 
 
+def test_depth_follows_the_rows(spark, collected):
+    data = {("big", v): {f"k{i}": [str(i if i != 70 * v else -v)] for i in range(3000)} for v in range(3)} | {("small", v): {"a": [str(v)]} for v in range(3)}
+    rows = spark.createDataFrame([(g, v, k, d) for (g, v), r in data.items() for k, ds in r.items() for d in ds], "grp string, version int, row_key string, digest string")
+    versions = spark.createDataFrame([*data, ("none", 0), ("none", 1)], "grp string, version int")
+    assert collected(merkle_diff(rows, versions, ["grp"]).select("grp", "pair", "row_key", "change_kind")) == brute(data)
+    assert collected(spark.createDataFrame([(n,) for n in (0, 32, 33, 512, 513, 10**10)], "n long").select(_depth(F.col("n")))) == [(0,), (0,), (1,), (1,), (2,), (8,)]
+
+
+def test_running_numbers_of_a_hot_group(spark):
+    rows = [("hot", i * 7 % 5000, str(i)) for i in range(5000)] + [(None, i, "x") for i in range(20)] + [("a", 1, "x"), ("a", 1, "y")]
+    df = spark.createDataFrame(rows, "part string, at int, id string")
+    held = {}
+    for r in number_versions(df, ["part"], ["at", "id"]).collect():
+        held.setdefault(r.part, []).append((r.version, r.at, r.id))
+    assert {p: len(x) for p, x in held.items()} == {"hot": 5000, None: 20, "a": 2}
+    assert all([v for v, *_ in sorted(x)] == list(range(len(x))) and sorted(x) == sorted(x, key=lambda r: r[1:]) for x in held.values())
+
+
 def test_number_versions_breaks_ties_by_order(spark, collected):
     df = spark.createDataFrame([("p", 1, "b"), ("p", 1, "a"), ("q", 5, "c")], "part string, at int, id string")
     assert collected(number_versions(df, ["part"], ["at", "id"]).select("id", "version")) == [("a", 0), ("b", 1), ("c", 0)]
