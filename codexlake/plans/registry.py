@@ -6,12 +6,5 @@ from codexlake.plans import corpus, evaluation, layout, nested_pages, operations
 from codexlake.plans.catalog import ORACLES, QUERIES, query
 
 query()(page_history.p1_found)
-query()(nested_pages.p6_found)
-query()(nested_pages.p6_regions)
-query(nested_pages.P6_LINE_POINTS_SQL)(nested_pages.p6_line_points)
-query()(nested_pages.p6_history_points)
-query()(nested_pages.p6_xml_points)
-query()(nested_pages.page_xml_lines)
-query()(nested_pages.page_xml_line_counts)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,8 +2,8 @@ import json
 import xml.etree.ElementTree as ET
 
 import duckdb
-import pytest
-from codexlake.operators.inlining import parse_json, parse_xml, schema_graph, shred, shred_array, tables_of
+from codexlake.operators import inlining
+from codexlake.operators.inlining import parse_json, parse_xml, schema_graph, shred, shred_array, tables_of, typed_table
 from codexlake.plans.nested_pages import p6_found
 
 XML = '<a xmlns="u"><TextRegion id="r1"><TextRegion id="r2"><TextLine id="l1"><Coords points="1,2"/></TextLine></TextRegion><TextLine id="l2"/></TextRegion></a>'
@@ -36,12 +36,35 @@ def test_parsers_refuse_what_is_no_record():
     assert parse_json("3") is None and parse_json("") is None and parse_xml("<a>") is None and parse_xml("") is None
 
 
-def test_empty_table_and_too_many_names(spark):
+def test_empty_table_and_names_that_are_values(spark, monkeypatch):
     docs = spark.createDataFrame([], "id string, state string")
-    assert schema_graph(docs, "state", "json") == {} and shred(docs, "id", "state", "json", {"record"}).count() == 0
-    wide = spark.createDataFrame([("d", json.dumps({f"k{i}": {"a": 1} for i in range(10_001)}))], "id string, state string")
-    with pytest.raises(ValueError, match="nesting"):
-        schema_graph(wide, "state", "json")
+    assert schema_graph(docs, "state", "json").edges == {} and shred(docs, "id", "state", "json", {"record"}).count() == 0
+    monkeypatch.setattr(inlining, "MAX_KINDS", 20)
+    wide = spark.createDataFrame([(f"d{j}", json.dumps({f"k{i}": {"a": i} for i in range(15 * j, 15 * j + 15)})) for j in range(4)], "id string, state string")
+    graph = schema_graph(wide, "state", "json")
+    assert set(graph.edges) == {("record", "*")} and graph.edges["record", "*"] > 1 and {e for e, _ in graph.fields} <= {"record", "*"}
+    rows = shred(wide, "id", "state", "json", tables_of(graph), {"*"}, graph=graph)
+    assert {(r.record_id, r.fields["#name"], r.fields["a"]) for r in rows.collect()} == {(f"d{i // 15}", f"k{i}", str(i)) for i in range(60)}
+
+
+def test_depth_and_tails(spark):
+    deep = "{\"a\":" * 3000 + "1" + "}" * 3000
+    docs = spark.createDataFrame([("deep", deep), ("flat", '{"a": {"a": 2}}'), ("broken", "{" * 100_000)], "id string, state string")
+    graph = schema_graph(docs, "state", "json")
+    assert graph.edges == {("record", "a"): 1, ("a", "a"): 1} and {r.record_id for r in shred(docs, "id", "state", "json", tables_of(graph)).collect()} >= {"flat"}
+    xml = spark.createDataFrame([("x", "<p>one <b>two</b> three<!-- no --></p>")], "id string, xml string")
+    graph = schema_graph(xml, "xml", "xml")
+    fields = shred(xml, "id", "xml", "xml", tables_of(graph)).first().fields
+    assert (fields["p.#text"], fields["p.b.#text"], fields["p.b.#tail"]) == ("one ", "two", " three")
+
+
+def test_typed_table(spark, collected):
+    docs = spark.createDataFrame([("d", json.dumps({"lines": [{"id": "x", "n": 1, "ok": True, "box": {"w": 2}}, {"id": "y", "n": 2.5, "ok": None, "box": {"w": "wide"}}]}))], "id string, state string")
+    graph = schema_graph(docs, "state", "json")
+    tables = tables_of(graph)
+    lines = typed_table(shred(docs, "id", "state", "json", tables), graph, tables, "lines")
+    assert dict(lines.dtypes) | {"n": "double", "ok": "boolean", "box.w": "string", "parent_row_id": "bigint"} == dict(lines.dtypes)
+    assert collected(lines.select("id", "n", "ok", "`box.w`", "parent_table", "parent_row_id", "fields")) == [("x", 1.0, True, "2", "record", 0, None), ("y", 2.5, None, "wide", "record", 0, None)]
 
 
 def test_array_points(spark, collected):
