@@ -29,7 +29,7 @@ MAX_CHANGED = 0.1
 #: Hamming radius of the 128-bit SimHash; a tenth of the letters changed moves about 32 bits, give or take 5.
 RADIUS = 54
 #: Train texts of fewer letters have even blocks, others content-defined ones.
-EVEN_BELOW = 81
+EVEN_BELOW = 121
 #: Half-widths of the windows in which a trigram hash must be least to end a content-defined block.
 WIDTHS = (3, 2)
 #: Pairs of content-defined blocks are formed up to this distance.
@@ -109,9 +109,9 @@ def _asked(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if train - n > train // 10:
             break
         most = max(train, n) // 10
-        blocks = _even(train)
-        for i, (start, length) in enumerate(blocks):
-            after = min(most, len(blocks) - 1 - i)
+        # One block more than there may be differences is enough.
+        for i, (start, length) in enumerate(_even(train)[: most + 1]):
+            after = most - i
             low = max(0, start - min(i, most), start + n - train - after)
             high = min(n - length, start + min(i, most), start + n - train + after)
             out += [(p, length, train * 64 + i) for p in range(low, high + 1)]
@@ -226,7 +226,7 @@ def near_links(texts: DataFrame) -> DataFrame:
     most = F.floor(F.greatest(F.length("a"), F.length("b")) * MAX_CHANGED).cast("int")
     alike = F.bit_count(F.col("a_sim.a").bitwiseXOR(F.col("b_sim.a"))) + F.bit_count(F.col("a_sim.b").bitwiseXOR(F.col("b_sim.b"))) <= RADIUS
     held = held.withColumn("most", most).where((F.abs(F.length("a") - F.length("b")) <= F.col("most")) & alike)
-    return held.where(F.levenshtein("a", "b") <= F.col("most")).select("train_id", "eval_id")
+    return held.where(F.expr("levenshtein(a, b, most) >= 0")).select("train_id", "eval_id")
 
 
 def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
