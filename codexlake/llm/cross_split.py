@@ -63,19 +63,43 @@ def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return mixed, row, place, grams, inside
 
 
+#: Texts of more trigrams than this have their bits counted one text at a time.
+COUNTED_TOGETHER = 1024
+
+
 def simhashes(texts: list[str]) -> np.ndarray:
-    """SimHash of the letter trigrams of each text, as two words of 64 bits."""
+    """SimHash of the letter trigrams of each text, as two words of 64 bits.
+
+    The bits of all texts are counted side by side, trigram by trigram, in binary counters that lie in planes: plane
+    ``k`` of a text holds bit ``k`` of the 64 counts.
+    """
     _, row, _, grams, inside = _flat(texts)
     at = np.flatnonzero(inside)
-    out = np.zeros((len(texts), 2), dtype=np.int64)
     counts = np.bincount(row[at], minlength=len(texts))
-    full = counts > 0
-    if len(at):
-        cuts = np.concatenate([[0], np.cumsum(counts)])[:-1][full]
-        for half, hashes in enumerate((grams[at], _mix(grams[at] + _M1))):
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-            out[full, half] = np.packbits(ones * 2 > counts[full, None], axis=1).view(np.uint64).ravel().view(np.int64)
+    start = np.cumsum(counts) - counts
+    order = np.argsort(-counts, kind="stable")
+    long = order[counts[order] > COUNTED_TOGETHER]
+    order = order[(counts[order] > 0) & (counts[order] <= COUNTED_TOGETHER)]
+    n, out = counts[order], np.zeros((len(texts), 2), dtype=np.int64)
+    for half, hashes in enumerate((grams[at], _mix(grams[at] + _M1))):
+        planes: list[np.ndarray] = []
+        for j in range(int(n[0]) if len(n) else 0):
+            m = int(np.searchsorted(-n, -j, side="left"))
+            carry = hashes[start[order[:m]] + j]
+            if (j + 1).bit_length() > len(planes):
+                planes.append(np.zeros(len(order), dtype=np.uint64))
+            for plane in planes:
+                plane[:m], carry = plane[:m] ^ carry, plane[:m] & carry
+        # A bit is set where its count is above half of the trigrams.
+        above, level = np.zeros(len(order), dtype=np.uint64), np.full(len(order), _TOP)
+        for k in range(len(planes) - 1, -1, -1):
+            limit = np.where(n // 2 >> k & 1, _TOP, np.uint64(0))
+            above |= level & planes[k] & ~limit
+            level &= ~(planes[k] ^ limit)
+        out[order, half] = above.view(np.int64)
+        for i in long:
+            bits = np.unpackbits(hashes[start[i] : start[i] + counts[i]].view(np.uint8).reshape(-1, 8), axis=1)
+            out[i, half] = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > counts[i]).view(np.uint64).view(np.int64)[0]
     return out
 
 
@@ -208,7 +232,7 @@ def _simhash(column: str) -> Column:
 def near_links(texts: DataFrame) -> DataFrame:
     """Links ``train_id``, ``eval_id`` between different texts: at most one letter in ten differs.
 
-    ``texts``: ``text_id``, ``skeleton``, ``in_train``, ``in_eval``, one row for each distinct skeleton, so
+    ``texts``: ``text_id``, ``skeleton``, ``sim``, ``in_train``, ``in_eval``, one row for each distinct skeleton, so
     groups of copies, however large, count once.  Keys hold the length of the text and the number of the
     block, so a formula that many texts share is spread over both; a key that is hot all the same is split by
     the skew handling of the sort-merge join, which has no outer side and may divide either.
@@ -220,7 +244,7 @@ def near_links(texts: DataFrame) -> DataFrame:
     p, q = F.shiftright("t", 32) - F.shiftright("e", 32), F.col("t").bitwiseAND(low) - F.col("e").bitwiseAND(low)
     drift = F.abs(p - q) <= 2 + F.abs(F.shiftright("t", 32) - F.col("t").bitwiseAND(low)) / 2
     candidates = t.join(e.hint("merge"), "key").where((F.col("train_id") != F.col("eval_id")) & drift).select("train_id", "eval_id").distinct()
-    words = texts.select("text_id", "skeleton", _simhash("skeleton").alias("sim"))
+    words = texts.select("text_id", "skeleton", "sim")
     a, b = (words.select(F.col("text_id").alias(f"{side}_id"), F.col("skeleton").alias(name), F.col("sim").alias(f"{name}_sim")) for side, name in (("train", "a"), ("eval", "b")))
     held = candidates.join(a, "train_id").join(b, "eval_id")
     most = F.floor(F.greatest(F.length("a"), F.length("b")) * MAX_CHANGED).cast("int")
@@ -240,7 +264,7 @@ def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = members.where(F.length(F.regexp_replace("skeleton", r"\p{N}", "")) >= MIN_LETTERS)
     members = durable(members.withColumn("digest", F.unhex(F.md5("skeleton"))))
     texts = members.groupBy("digest").agg(F.min("skeleton").alias("skeleton"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
-    return members, durable(texts.withColumn("text_id", F.monotonically_increasing_id()))
+    return members, durable(texts.withColumns({"text_id": F.monotonically_increasing_id(), "sim": _simhash("skeleton")}))
 
 
 def class_links(texts: DataFrame) -> DataFrame:

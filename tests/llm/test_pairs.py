@@ -91,6 +91,14 @@ def test_fingerprints_of_odd_texts():
     assert all(len(x) == 0 for x in cross_split.paired_keys([])) and all(len(x) == 0 for x in cross_split.even_keys([], cross_split._held))
 
 
+def test_simhash_counts_bits(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in [*range(70), 300, 1200]]
+    sim = cross_split.simhashes(texts)
+    monkeypatch.setattr(cross_split, "COUNTED_TOGETHER", 0)
+    assert (cross_split.simhashes(texts) == sim).all()
+
+
 def _hurt(rng, text):
     """As many random differences as a pair may have, each a changed, missing or further letter."""
     out, n = list(text), 0
