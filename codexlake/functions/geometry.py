@@ -22,20 +22,26 @@ def shoelace(points: str) -> Column:
 
 
 def hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull, counter-clockwise from the leftmost lowest point, without collinear points."""
+    """Convex hull, counter-clockwise from the leftmost lowest point, without collinear points.
+
+    The outline is wrapped: from each corner the next one is the point that has no other to its right, the farthest
+    of those in line; every step looks at all points at once.
+    """
     p = np.unique(np.asarray(points, dtype=float).reshape(-1, 2), axis=0)
     if len(p) < 3:
         return p
-
-    def chain(order: np.ndarray) -> list:
-        out: list = []
-        for q in order:
-            while len(out) > 1 and np.cross(np.append(out[-1] - out[-2], 0), np.append(q - out[-1], 0))[2] <= 0:
-                out.pop()
-            out.append(q)
-        return out[:-1]
-
-    return np.array(chain(p) + chain(p[::-1]))
+    corners = [0]
+    while len(corners) <= len(p):
+        ways = p - p[corners[-1]]
+        length = np.hypot(*ways.T)
+        angle = np.arctan2(ways[:, 1], ways[:, 0])
+        heading = -np.pi / 2 if len(corners) == 1 else np.arctan2(*(p[corners[-1]] - p[corners[-2]])[::-1])
+        turn = np.where(length > 0, np.round((angle - heading) % (2 * np.pi), 9) % np.round(2 * np.pi, 9), np.inf)
+        step = int(np.lexsort((-length, turn))[0])
+        if step == 0:
+            break
+        corners.append(step)
+    return p[corners]
 
 
 def area(points: np.ndarray) -> float:
@@ -60,14 +66,30 @@ def clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     return out
 
 
+def shared_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Area that two convex counter-clockwise polygons share."""
+    return area(clip(a, b)) if len(a) > 2 and len(b) > 2 else 0.0
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """Intersection over union of the convex hulls."""
-    ha, hb = hull(a), hull(b)
-    if len(ha) < 3 or len(hb) < 3:
-        return 0.0
-    common = area(clip(ha, hb))
-    whole = area(ha) + area(hb) - common
-    return common / whole if whole > 0 else 0.0
+    return float(overlaps([a], [b])[0, 0])
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection over union of the convex hulls of all shapes of two lists: each hull once, exact areas only where boxes meet."""
+    out = np.zeros((len(left), len(right)))
+    if not out.size:
+        return out
+    hulls = [[hull(x) for x in side] for side in (left, right)]
+    low, high = (([np.array([f(h) for h in side]) for side in hulls]) for f in (lambda h: h.min(axis=0), lambda h: h.max(axis=0)))
+    areas = [np.array([area(h) for h in side]) for side in hulls]
+    meet = (np.minimum(high[0][:, None], high[1][None]) > np.maximum(low[0][:, None], low[1][None])).all(axis=2)
+    for i, j in zip(*np.nonzero(meet), strict=True):
+        common = shared_area(hulls[0][i], hulls[1][j])
+        whole = areas[0][i] + areas[1][j] - common
+        out[i, j] = common / whole if whole > 0 else 0.0
+    return out
 
 
 def y_at(line: np.ndarray, x: float) -> float:

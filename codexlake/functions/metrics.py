@@ -69,11 +69,31 @@ def edit_ops(reference: str, prediction: str) -> Column:
     return F.pandas_udf(ops, "array<struct<o:string,a:string,b:string>>")(reference, prediction)
 
 
+def sequence_distance(a: Sequence, b: Sequence) -> int:
+    """``edit_distance`` with a whole row of the table in the bits of one integer."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    more, less, out = full, 0, len(a)
+    for y in b:
+        same = places.get(y, 0)
+        across = ((same & more) + more ^ more) | same
+        up, down = less | full & ~(across | more), more & across
+        out += bool(up & top) - bool(down & top)
+        up, down = up << 1 & full | 1, down << 1 & full
+        stay = same | less
+        more, less = down | full & ~(stay | up), up & stay
+    return out
+
+
 def word_distance(reference: str, prediction: str) -> Column:
     """Levenshtein distance over white-space separated words; null if either text is null."""
 
     def distance(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([edit_distance(a.split(), b.split()) if a is not None and b is not None else None for a, b in zip(left, right, strict=True)], dtype="Int64")
+        return pd.Series([sequence_distance(a.split(), b.split()) if a is not None and b is not None else None for a, b in zip(left, right, strict=True)], dtype="Int64")
 
     return F.pandas_udf(distance, "bigint")(reference, prediction)
 

@@ -82,7 +82,7 @@ def optimal_match(scores: np.ndarray, least: float) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, n + 1) if allowed[owner[j] - 1, j - 1])
 
 
-def kmeans_1d(values: Sequence[float], k: int, rounds: int = 100) -> list[float]:
+def cluster_centres(values: Sequence[float], k: int, rounds: int = 100) -> list[float]:
     """Centres of one-dimensional clusters, begun at evenly spaced quantiles, in rising order."""
     x = np.sort(np.asarray(values, dtype=float))
     if not len(x):

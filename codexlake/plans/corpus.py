@@ -149,20 +149,10 @@ def page_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(main_script("text").alias("main_script")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents WHERE lang IN ('hy', 'syc', 'cop', 'fr')) WHERE ch <> '' GROUP BY 1, 2")
+@query("SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2")
 def charset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four languages of ``charset_whole`` that its SQL covers."""
-    return _charset(table(spark, sf_dir, "documents").where(F.col("lang").isin("hy", "syc", "cop", "fr")))
-
-
-@query()
-def charset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of every language, as spelled or null, with their counts."""
-    return _charset(table(spark, sf_dir, "documents"))
-
-
-def _charset(d: DataFrame) -> DataFrame:
-    """Pre-aggregated before the shuffle."""
+    """Characters of every language, as spelled or null, with their counts; pre-aggregated before the shuffle."""
+    d = table(spark, sf_dir, "documents")
     return d.select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("lang", "ch").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -226,22 +216,12 @@ def label_join_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS line_order FROM (SELECT doc_id, i, trim(l[i], chr(32) || chr(9) || chr(13)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE source = 'glossary')) WHERE line <> ''
+SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS line_order FROM (SELECT doc_id, i, trim(l[i], chr(32) || chr(9) || chr(13)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE line <> ''
 """)
 def imported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one source of ``imported_lines_whole`` that its SQL covers."""
-    return _imported_lines(table(spark, sf_dir, "documents").where("source = 'glossary'"))
-
-
-@query()
-def imported_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's text as its non-empty trimmed lines, in order."""
-    return _imported_lines(table(spark, sf_dir, "documents"))
-
-
-def _imported_lines(d: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")), lambda x: x != "")
-    return d.select("doc_id", F.posexplode(lines).alias("p", "line")).select("doc_id", "line", F.col("p").cast("bigint").alias("line_order"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("p", "line")).select("doc_id", "line", F.col("p").cast("bigint").alias("line_order"))
 
 
 @query("""
@@ -262,21 +242,11 @@ def prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("prefix", "stem", F.row_number().over(Window.partitionBy("prefix").orderBy("num", "stem")).cast("bigint").alias("position"))
 
 
-@query("SELECT doc_id, copy FROM (SELECT doc_id, unnest(generate_series(1, CASE WHEN source = 'acts' THEN 3 ELSE 1 END)) AS copy FROM documents WHERE source IN ('acts', 'lectionary'))")
+@query("SELECT doc_id, copy FROM (SELECT doc_id, unnest(generate_series(1, CASE WHEN source = 'acts' THEN 3 ELSE 1 END)) AS copy FROM documents)")
 def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two sources of ``oversample_whole`` that its SQL covers."""
-    return _oversample(table(spark, sf_dir, "documents").where(F.col("source").isin("acts", "lectionary")))
-
-
-@query()
-def oversample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole mix, null sources too, with the chosen source repeated."""
-    return _oversample(table(spark, sf_dir, "documents"))
-
-
-def _oversample(d: DataFrame) -> DataFrame:
     times = F.when(F.col("source") == "acts", 3).otherwise(1)
-    return d.select("doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), times.cast("bigint"))).alias("copy"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), times.cast("bigint"))).alias("copy"))
 
 
 @query("""
@@ -296,14 +266,23 @@ def shelfmark_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("slug").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("shelfmark").alias("spellings"))
 
 
+_PAGE = r"^(.*)__[0-9]+-[0-9]+\.jpg$"
+
+
+def text_page_edges(rows: DataFrame) -> DataFrame:
+    """Edges ``record``, ``entity`` between texts and pages; a row without a page stands by its text alone."""
+    page = F.concat(F.lit("p:"), F.nullif(F.regexp_extract("output_name", _PAGE, 1), F.lit("")))
+    pairs = rows.where("text IS NOT NULL").select(page.alias("page"), F.concat(F.lit("t:"), F.sha2("text", 256)).alias("text")).distinct()
+    return pairs.select(F.concat_ws("|", "page", "text").alias("record"), F.explode(F.array_compact(F.array("page", "text"))).alias("entity"))
+
+
 @query()
 def text_page_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Import rows joined by equal texts or equal pages: component of each page and text."""
-    rows = _imports(spark, sf_dir).where("text IS NOT NULL")
-    page = F.concat(F.lit("p:"), F.regexp_extract("output_name", r"^(.*)__[0-9]+-[0-9]+\.jpg$", 1))
-    pairs = rows.select(page.alias("page"), F.concat(F.lit("t:"), F.sha2("text", 256)).alias("text")).where("page <> 'p:'").distinct()
-    edges = pairs.select(F.concat_ws("|", "page", "text").alias("record"), F.explode(F.array("page", "text")).alias("entity"))
-    return components(edges)
+    """Import rows joined by equal texts or equal pages: component of each page and text.
+
+    A row without a page goes with the rows of its text, and so with the page of a dropped twin.
+    """
+    return components(text_page_edges(_imports(spark, sf_dir)))
 
 
 @query("SELECT count(*) FILTER (WHERE l.line_id IS NOT NULL) AS present, count(*) FILTER (WHERE l.line_id IS NULL) AS missing, r.model_name FROM transcribe_responses r LEFT JOIN (SELECT DISTINCT line_id FROM release_lines WHERE image_shipped) l USING (line_id) GROUP BY r.model_name")

@@ -89,9 +89,10 @@ def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def edit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines by number of edits, empty numbers up to 20 included."""
-    e = _pairs(spark, sf_dir).select(F.least(F.lit(20), F.levenshtein("ref", "pred")).alias("edits")).groupBy("edits").agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(21).select(F.col("id").cast("int").alias("edits")).join(e, "edits", "left").select("edits", F.coalesce("n", F.lit(0)).alias("n"))
+    """Lines by number of edits, empty numbers up to the greatest included."""
+    e = _pairs(spark, sf_dir).select(F.levenshtein("ref", "pred").alias("edits")).groupBy("edits").agg(F.count(F.lit(1)).alias("n"))
+    numbers = e.agg(F.max("edits").alias("most")).select(F.explode(F.sequence(F.lit(0), "most")).alias("edits"))
+    return numbers.join(e, "edits", "left").select("edits", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""

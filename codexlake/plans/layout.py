@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codexlake.functions.geometry import box, hull_area, overlap, shoelace
-from codexlake.operators.matching import box_pairs, greedy_match, kmeans_1d, optimal_match, reading_order
+from codexlake.functions.geometry import box, hull_area, overlaps, shoelace
+from codexlake.operators.matching import box_pairs, greedy_match, cluster_centres, optimal_match, reading_order
 from codexlake.plans.catalog import query
 from codexlake.runtime import table
 
@@ -111,10 +109,9 @@ def _points(values: pd.Series) -> list[np.ndarray]:
 def _matched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if not len(left):
         return pd.DataFrame(columns=["part_id", "n_run", "n_live", "greedy", "optimal", "best"])
-    a, b = _points(left["points"]), _points(right["points"]) if len(right) else []
-    scores = np.array([[overlap(x, y) for y in b] for x in a]).reshape(len(a), len(b))
+    scores = overlaps(_points(left["points"]), _points(right["points"]) if len(right) else [])
     pairs, best = greedy_match(scores, 0.5), optimal_match(scores, 0.5)
-    return pd.DataFrame([(left["part_id"].iloc[0], len(a), len(b), len(pairs), len(best), round(float(sum(scores[i, j] for i, j in best)), 4))], columns=["part_id", "n_run", "n_live", "greedy", "optimal", "best"])
+    return pd.DataFrame([(left["part_id"].iloc[0], *scores.shape, len(pairs), len(best), round(float(sum(scores[i, j] for i, j in best)), 4))], columns=["part_id", "n_run", "n_live", "greedy", "optimal", "best"])
 
 
 def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,11 +144,6 @@ def column_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two centres of the lines' left edges on each page."""
 
     def centres(page: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part_id": [page["part_id"].iloc[0]], "centres": [[round(c, 2) for c in kmeans_1d(sorted(page["x0"]), 2)]]})
+        return pd.DataFrame({"part_id": [page["part_id"].iloc[0]], "centres": [[round(c, 2) for c in cluster_centres(sorted(page["x0"]), 2)]]})
 
     return _boxes(spark, sf_dir).where("part_id IS NOT NULL").groupBy("part_id").applyInPandas(centres, "part_id string, centres array<double>")
-
-
-@query("SELECT vec_id, round(list_min(embedding), 5) AS least, round(list_max(embedding), 5) AS most, len(embedding) AS n FROM embeddings")
-def vector_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_min("embedding"), 5).alias("least"), F.round(F.array_max("embedding"), 5).alias("most"), F.size("embedding").cast("bigint").alias("n"))

@@ -125,24 +125,14 @@ def approval_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT CAST(ts AS DATE) AS day, event_type FROM events WHERE event_type IN ('signup', 'error') AND user_id < 20),
+WITH f AS (SELECT CAST(ts AS DATE) AS day, event_type FROM events WHERE event_type IN ('signup', 'error')),
 c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM f)
 SELECT strftime(c.day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type = 'signup') AS signups, count(*) FILTER (WHERE event_type = 'error') AS errors
 FROM c LEFT JOIN f ON f.day = CAST(c.day AS DATE) GROUP BY 1
 """)
 def activity_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The users of ``activity_zero_filled_whole`` that its SQL covers."""
-    return _activity(table(spark, sf_dir, "events").where("user_id < 20"))
-
-
-@query()
-def activity_zero_filled_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signups and errors of all users on each day from the first to the last."""
-    return _activity(table(spark, sf_dir, "events"))
-
-
-def _activity(events: DataFrame) -> DataFrame:
-    f = events.where(F.col("event_type").isin("signup", "error")).select(F.to_date("ts").alias("day"), "event_type")
+    f = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error")).select(F.to_date("ts").alias("day"), "event_type")
     return zero_filled(f, "day", {"signups": F.col("event_type") == "signup", "errors": F.col("event_type") == "error"}).withColumn("day", F.col("day").cast("string"))
 
 
@@ -168,21 +158,12 @@ def duration_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT message_class, n FROM (SELECT left(regexp_replace(message, '[0-9]+', 'N', 'g'), 80) AS message_class, count(*) AS n FROM feedback WHERE message IS NOT NULL AND regexp_matches(message, '^[\\x20-\\x7e]*$') GROUP BY 1)
+SELECT message_class, n FROM (SELECT left(regexp_replace(message, '[0-9]+', 'N', 'g'), 80) AS message_class, count(*) AS n FROM feedback WHERE message IS NOT NULL GROUP BY 1)
 ORDER BY n DESC, message_class LIMIT 5
 """)
 def top_failure_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages of ``top_failure_messages_whole`` that its SQL covers: printable ASCII."""
-    return _top_messages(table(spark, sf_dir, "feedback").where(F.col("message").rlike(r"^[\x20-\x7e]*$")))
-
-
-@query()
-def top_failure_messages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five commonest messages of any alphabet, numbers aside (a top 5 by nature); classes are cut by code point."""
-    return _top_messages(table(spark, sf_dir, "feedback").where("message IS NOT NULL"))
-
-
-def _top_messages(f: DataFrame) -> DataFrame:
+    f = table(spark, sf_dir, "feedback").where("message IS NOT NULL")
     return f.groupBy(F.left(F.regexp_replace("message", "[0-9]+", "N"), F.lit(80)).alias("message_class")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "message_class").limit(5)
 
 
@@ -230,10 +211,9 @@ def binding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_hit(customer, ["c_custkey"], [own, segment, nation], "binding")
 
 
-@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max(event_id) FILTER (WHERE true) - max(event_id) AS zero FROM events GROUP BY 1")
+@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def latest_per_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = latest_per_group(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
-    return latest.select("user_id", "event_type", F.lit(0).cast("bigint").alias("zero"))
+    return latest_per_group(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type")
 
 
 @query("SELECT user_id, event_id, r AS rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5")
@@ -326,22 +306,12 @@ def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority || ' new' END, o_orderpriority) AS label, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0
+SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority || ' new' END, o_orderpriority) AS label, o_totalprice AS price FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
 """)
 def bulk_replace_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The updates of ``bulk_replace_overlay_whole`` as its SQL picks them."""
-    orders = table(spark, sf_dir, "orders")
-    return _bulk_replace(orders, orders.where("o_orderkey % 3 <> 0"))
-
-
-@query()
-def bulk_replace_overlay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk replace from the pages that still have lines: absent fields keep their value, pages without lines are deleted."""
     orders = table(spark, sf_dir, "orders")
-    return _bulk_replace(orders, orders.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi"))
-
-
-def _bulk_replace(orders: DataFrame, sent: DataFrame) -> DataFrame:
+    sent = orders.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
     base = orders.select("o_orderkey", F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("price"))
     updates = sent.select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.concat("o_orderpriority", F.lit(" new"))).alias("label"), F.lit(None).cast("double").alias("price"))
     return overlay(base, updates, ["o_orderkey"], ["label", "price"])

@@ -49,7 +49,7 @@ def test_editorial_rules_collapse_only_touched_rows(spark):
 def test_alignment_is_cheapest_and_spells_both(a, b):
     ops = m.align(a, b)
     assert "".join(x for _, x, _ in ops) == a and "".join(y for _, _, y in ops) == b
-    assert sum(o != "eq" for o, _, _ in ops) == m.edit_distance(a, b)
+    assert sum(o != "eq" for o, _, _ in ops) == m.edit_distance(a, b) == m.sequence_distance(a, b)
 
 
 def test_pair_cer_conventions_and_collapse(spark):
@@ -67,6 +67,19 @@ def test_geometry():
     assert len(g.simplify(np.array([[0, 0], [1, 0.01], [2, 0]]), 0.1)) == 2 and len(g.simplify(np.array([[0, 0], [1, 1], [2, 0]]), 0.1)) == 3
 
 
+def test_hulls_and_overlaps_of_random_shapes():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 5, 9, 40):
+        p = np.round(rng.random((n, 2)) * 9, 1)
+        corners = g.hull(p)
+        for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True) if len(corners) > 2 else ():
+            assert all((b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0]) >= -1e-6 for q in p)
+    shapes = [rng.random((6, 2)) * 4 + rng.random(2) * 6 for _ in range(12)]
+    assert np.allclose(g.overlaps(shapes, shapes[:5]), [[g.overlap(a, b) for b in shapes[:5]] for a in shapes]) and g.overlaps([], shapes).shape == (0, 12)
+    square = np.array([[0, 0], [1, 0], [2, 0], [2, 2], [0, 2], [0, 1]])
+    assert g.hull(square).tolist() == [[0, 0], [2, 0], [2, 2], [0, 2]]
+
+
 def test_optimal_match_equals_brute_force():
     rng = np.random.default_rng(5)
     for n, k in itertools.product(range(1, 5), range(1, 5)):
@@ -93,7 +106,7 @@ def test_box_pairs_equal_brute_force(spark):
 def test_reading_order_and_clusters():
     boxes = np.array([[100, 50, 180, 60], [0, 0, 80, 10], [0, 20, 80, 30], [100, 0, 180, 10]])
     assert matching.reading_order(boxes) == [1, 2, 3, 0] and matching.reading_order(np.zeros((0, 4))) == []
-    assert matching.kmeans_1d([1, 2, 10, 11], 2) == [1.5, 10.5] and matching.kmeans_1d([], 2) == []
+    assert matching.cluster_centres([1, 2, 10, 11], 2) == [1.5, 10.5] and matching.cluster_centres([], 2) == []
 
 
 def test_split_allocation():
