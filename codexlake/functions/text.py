@@ -150,3 +150,160 @@ def main_script(column: str) -> Column:
     for name in reversed(("coptic", "greek", "armenian", "syriac", "latin")):
         out = F.when((n[name] == most) & (most > 0), name).otherwise(out)
     return out
+
+
+def _series(of):  # noqa: ANN001, ANN202
+    """A string function as an Arrow one; null stays null."""
+    return lambda texts: texts.map(lambda t: of(t) if t is not None else None)
+
+
+def fuzzy_key(column: str | Column) -> Column:
+    """Key for near-equal texts: NFKD and case folding without marks, punctuation, spaces, symbols and controls."""
+
+    def one(t: str) -> str:
+        return "".join(c for c in unicodedata.normalize("NFKD", t).casefold() if unicodedata.category(c)[0] not in "MPZSC")
+
+    return F.pandas_udf(_series(one), "string")(column)
+
+
+def codepoints(text: str) -> str:
+    """``U+XXXX`` of each character, ``(none)`` for the empty text."""
+    return " ".join(f"U+{ord(c):04X}" for c in text) or "(none)"
+
+
+def composition_changes(text: str) -> list[str]:
+    """What NFC changes in a text, each starter with its marks on its own; the whole text if it composes across starters."""
+    whole = unicodedata.normalize("NFC", text)
+    starts = [i for i, c in enumerate(text) if not i or not unicodedata.combining(c)]
+    parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+    composed = [unicodedata.normalize("NFC", p) for p in parts]
+    if "".join(composed) != whole:
+        parts, composed = [text], [whole]
+    return [f"{codepoints(a)}->{codepoints(b)}" for a, b in zip(parts, composed, strict=True) if a != b]
+
+
+def nfc_changes(column: str | Column) -> Column:
+    """``composition_changes`` of a column; null stays null."""
+    return F.pandas_udf(_series(composition_changes), "array<string>")(column)
+
+
+def symbol_changes(column: str | Column, source: str, target: str) -> Column:
+    """Characters of a text that a translation table changes, as ``U+XXXX->U+YYYY``; null stays null."""
+    to = {c: target[i] if i < len(target) else "" for i, c in enumerate(source)}
+
+    def one(t: str) -> list[str]:
+        return [f"{codepoints(c)}->{codepoints(to[c])}" for c in t if to.get(c, c) != c]
+
+    return F.pandas_udf(_series(one), "array<string>")(column)
+
+
+_MARKS = "\u0300-\u036f\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+
+
+def barred_expansions(column: str | Column) -> Column:
+    """Expansions ``(...)`` dropped; the letters on either side get an overline unless they have one.
+
+    θ(εὸ)ς becomes θ̅ς̅.  A letter between two expansions is barred once.
+    """
+    letter = f"\\p{{L}}[{_MARKS}]*"
+    mark = "\uf8ff"
+    # Where an expansion stood, a private mark keeps the place; then the letters beside it are barred.
+    held = F.regexp_replace(column, r"\([^()\s]*\)", mark)
+    before = F.regexp_replace(held, f"({letter})(?=[{_MARKS}]*{mark})", "$1\u0305")
+    after = F.regexp_replace(before, f"(?<={mark})({letter})", "$1\u0305")
+    return F.translate(F.regexp_replace(after, "\u0305([\u0300-\u0304\u0306-\u036f]*)\u0305+", "\u0305$1"), mark, "")
+
+
+def sigma_spaces(column: str | Column) -> Column:
+    """A space after a final sigma that a letter follows."""
+    return F.regexp_replace(column, f"(ς[\u0300-\u036f]*)(?=\\p{{L}})", "$1 ")
+
+
+def line_end_hyphen(column: str | Column) -> Column:
+    """Hyphens at the line's end dropped, after a letter or with the spaces before them; a doubled one between words becomes a space."""
+    return F.regexp_replace(F.regexp_replace(column, r"(?<=\p{L})- -(?=\p{L})", " "), r"(?<=\p{L})-$|(?U)\s+-$", "")
+
+
+def ruled(column: str, key: str, rules: Sequence[tuple[str, str | None, str]]) -> tuple[Column, Column]:
+    """Ordered rules ``(pattern, key prefix or None, replacement)`` over a text, each only in rows whose ``key`` has its prefix.
+
+    Returns the text, spaces tidied only where a rule fired, and how many substitutions each rule made.
+    """
+    text, counts = F.col(column), []
+    for pattern, prefix, ink in rules:
+        applies = F.lit(True) if prefix is None else F.coalesce(F.col(key).startswith(prefix), F.lit(False))
+        counts.append(F.when(applies, F.regexp_count(text, F.lit(pattern))).otherwise(0))
+        text = F.when(applies, F.regexp_replace(text, pattern, ink)).otherwise(text)
+    n = F.array(*counts)
+    return F.when(F.aggregate(n, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) > 0, F.trim(F.regexp_replace(text, " {2,}", " "))).otherwise(F.col(column)), n
+
+
+# Normaliser of each language, applied after NFC.
+NORMALISERS = {"armenian": armenian_gt, "coptic": coptic_gt, "greek": greek_gt, "syriac": syriac_gt}
+
+
+def normalised(column: str, language: str) -> Column:
+    """The form of a text for its language (a column), NFC where it has no normaliser of its own."""
+    out = normal(column)
+    for name, of in NORMALISERS.items():
+        out = F.when(F.col(language) == name, of(column)).otherwise(out)
+    return out
+
+
+def encode_characters(column: str | Column, charset: Sequence[str]) -> Column:
+    """Numbers of a text's characters in a character set (from 1; 0 is the blank); an unknown character is an error."""
+    known = F.create_map(*[F.lit(x) for i, c in enumerate(charset, 1) for x in (c, i)]) if charset else F.create_map().cast("map<string,int>")
+    chars = F.filter(F.split(column, ""), lambda c: c != "")
+    return F.transform(chars, lambda c: F.coalesce(known[c], F.raise_error(F.concat(F.lit("character not in the set: "), c)).cast("int")))
+
+
+# Order of the labels before a release.
+_PRE = {"dev": -4, "a": -3, "alpha": -3, "b": -2, "beta": -2, "rc": -1}
+_VERSION = r"^(?:v)?(\d{1,9})\.(\d{1,9})\.(\d{1,9})(?:[-.]?(dev|alpha|a|beta|b|rc)[-.]?(\d{0,9}))?$"
+
+
+def version_key(column: str | Column) -> Column:
+    """``struct`` that orders versions ``MAJOR.MINOR.PATCH[label[number]]``; null for anything else."""
+    bare = F.trim(column)
+    part = [F.regexp_extract(bare, _VERSION, i) for i in range(1, 6)]
+    rank = F.coalesce(F.create_map(*[F.lit(x) for pair in _PRE.items() for x in pair])[part[3]], F.lit(0))
+    numbers = [p.try_cast("bigint").alias(n) for p, n in zip(part[:3], ("major", "minor", "patch"), strict=True)]
+    return F.when(bare.rlike(_VERSION), F.struct(*numbers, rank.alias("rank"), F.coalesce(part[4].try_cast("bigint"), F.lit(0)).alias("pre")))
+
+
+def version_verdict(column: str, floor: str, latest: str) -> Column:
+    """``missing``, ``malformed``, ``below floor``, ``outdated`` or ``current``."""
+    own = version_key(column)
+    return F.when(F.coalesce(F.length(strip(column)), F.lit(0)) == 0, "missing").when(own.isNull(), "malformed").when(own < version_key(F.lit(floor)), "below floor").when(own < version_key(F.lit(latest)), "outdated").otherwise("current")
+
+
+def artifact_ref(column: str) -> Column:
+    """``struct<id, tag>`` of ``registry://id?tag=t`` (tag ``stable`` unless given); nulls for other shapes."""
+    fits = F.coalesce(F.col(column).rlike("^registry://[^/?#]+"), F.lit(False))
+    tag = F.regexp_extract(column, r"[?&]tag=([^&#]*)", 1)
+    return F.struct(F.when(fits, F.regexp_extract(column, "^registry://([^/?#]+)", 1)).alias("id"), F.when(fits, F.when(tag == "", "stable").otherwise(tag)).alias("tag"))
+
+
+# What is masked in log texts, in this order.
+_SECRETS = (
+    (r"(\w+://)[^\s/@:]+:[^\s/@]+@", "$1<redacted>@"), (r"\?[^\s\"'<>]+=[^\s\"'<>]*", "?<redacted>"), (r"eyJ[\w-]+\.[\w-]+\.[\w-]*", "<jwt>"), (r"\bAKIA[0-9A-Z]{16}\b", "<aws-key>"),
+    (r"[\w.+-]+@[\w-]+\.[\w.-]+", "<email>"), (r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", "<uuid>"), (r"\b[A-Za-z]:\\\\[^\s\"']+", "<path>"), (r"(?:/home|/Users|/root)/[^\s\"':]+", "<path>"),
+)
+
+
+def redact_log(column: str, most: int = 500) -> Column:
+    """A log text on one line with credentials, tokens, addresses, ids and home paths masked, cut at ``most`` characters."""
+    out = F.trim(F.regexp_replace(column, r"[\x00-\x1f\x7f]", " "))
+    for pattern, mask in _SECRETS:
+        out = F.regexp_replace(out, pattern, mask)
+    return F.left(out, F.lit(most))
+
+
+def encode_cursor(*columns: str) -> Column:
+    """Opaque cursor of a page of results: its key columns as JSON in base 64."""
+    return F.base64(F.encode(F.to_json(F.struct(*columns)), "UTF-8"))
+
+
+def decode_cursor(column: str | Column, schema: str) -> Column:
+    """The key columns of a cursor; null for what is none."""
+    return F.from_json(F.decode(F.try_to_binary(column, F.lit("base64")), "UTF-8"), schema)

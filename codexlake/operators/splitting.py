@@ -39,13 +39,25 @@ def exhaustive(sizes: Sequence[int], fractions: Sequence[float]) -> list[int]:
 
 
 def greedy(sizes: Sequence[int], bounds: Sequence[float]) -> list[int]:
-    """Groups in the given order fill the splits up to cumulative bounds; later splits keep a group each if they can."""
-    total, done, split = sum(sizes), 0, 0
-    out = []
-    for i, size in enumerate(sizes):
-        left = len(sizes) - i
-        while split < len(bounds) and ((done + size / 2) > bounds[split] * total or left <= len(bounds) - split) and (out.count(split) or i >= len(sizes)):
-            split += 1
+    """Groups in the given order fill the splits one after the other.
+
+    A split is full once it holds a group and the running total has reached its cumulative bound; as many groups are
+    held back as there are splits still to come, so none of them stays empty.
+    """
+    total, done = sum(sizes), np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else []
+    out: list[int] = []
+    split, used = 0, False
+    for i, before in enumerate(done):
+        while split < len(bounds) and ((used and before >= bounds[split] * total) or len(sizes) - i <= len(bounds) - split):
+            split, used = split + 1, False
         out.append(split)
-        done += size
+        used = True
     return out
+
+
+def merge_undersized(groups: dict[str, int], least: int) -> dict[str, str]:
+    """Where each group goes: those with fewer than ``least`` members join the largest (ties: first by name), others stay."""
+    if not groups:
+        return {}
+    largest = min(groups, key=lambda g: (-groups[g], g))
+    return {g: g if g == largest or n >= least else largest for g, n in groups.items()}
