@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codexlake.plans import corpus, evaluation, layout, nested_pages, operations, page_history, preparation, records  # noqa: F401
+from codexlake.plans import corpus, evaluation, layout, nested_pages, operations, page_history, pages, preparation, records  # noqa: F401
 from codexlake.plans.catalog import ORACLES, QUERIES, query
 
 query()(page_history.p1_found)
