@@ -73,10 +73,10 @@ def test_notes_and_initials_join_a_column():
 
 
 def test_row_runs_merge_side_by_side_pieces():
-    boxes = np.array([(0, 0, 42, 10), (43, 0, 80, 10), (0, 20, 80, 30), (0, 32, 80, 42), (0, 44, 30, 54), (40, 44, 80, 54), (0, 60, 40, 70), (41, 58, 60, 81)])
+    boxes = np.array([(0, 0, 42, 10), (43, 0, 80, 10), (0, 20, 80, 30), (0, 32, 80, 42), (0, 44, 30, 54), (40, 44, 80, 54), (0, 60, 40, 70), (41, 58, 60, 81), *[(0, 90 + 12 * i, 80, 100 + 12 * i) for i in range(7)]])
     runs = {tuple(r) for r in p.row_runs(boxes)}
     # A gap of 10 is too wide at a height of 10, and a line of more than twice the height is no fragment.
-    assert runs == {(0, 1), (2,), (3,), (4,), (5,), (6,), (7,)} and p.row_runs(np.zeros((0, 4))) == []
+    assert runs == {(0, 1), *[(i,) for i in range(2, 15)]} and p.row_runs(np.zeros((0, 4))) == []
 
 
 def test_overlaps_are_cut_or_dropped():
