@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codexlake.functions.bidi import drawn_column
 from codexlake.functions.metrics import edit_ops, error_rate, pair_cer, word_distance
+from codexlake.functions.recognition import voted
+from codexlake.functions.text import main_script, normal
 from codexlake.operators.relational import islands
 from codexlake.plans.catalog import query
 from codexlake.runtime import table
@@ -53,6 +56,85 @@ def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("model").agg(both.alias("common"), F.round(both / F.sum("q"), 4).alias("word_precision"), F.round(both / F.sum("r"), 4).alias("word_recall"))
 
 
+@query(f"""
+WITH p AS ({_PAIRS}), w AS (
+  SELECT response_id, w, count(*) FILTER (WHERE side = 'r') AS r, count(*) FILTER (WHERE side = 'p') AS q FROM (
+    SELECT response_id, unnest(string_split(ref, ' ')) AS w, 'r' AS side FROM p UNION ALL SELECT response_id, unnest(string_split(pred, ' ')), 'p' FROM p) WHERE w <> '' GROUP BY 1, 2),
+t AS (SELECT sum(least(r, q)) AS b, sum(r) AS r, sum(q) AS q FROM w)
+SELECT round(b / q, 4) AS sroie_precision, round(b / r, 4) AS sroie_recall, round(2.0 * b / (q + r), 4) AS sroie_f1, CAST(r AS BIGINT) AS reference_words, CAST(q AS BIGINT) AS predicted_words FROM t
+""")
+def sroie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 of the words of all pairs as multisets, each pair on its own."""
+    p = _pairs(spark, sf_dir)
+    sides = F.explode(F.concat(F.transform(F.split("ref", " "), lambda w: F.struct(w.alias("w"), F.lit(1).alias("r"), F.lit(0).alias("q"))), F.transform(F.split("pred", " "), lambda w: F.struct(w.alias("w"), F.lit(0).alias("r"), F.lit(1).alias("q"))))).alias("s")
+    w = p.select("response_id", sides).where("s.w <> ''").groupBy("response_id", "s.w").agg(F.sum("s.r").alias("r"), F.sum("s.q").alias("q"))
+    t = w.agg(F.sum(F.least("r", "q")).alias("b"), F.sum("r").alias("r"), F.sum("q").alias("q"))
+    return t.select(F.round(F.col("b") / F.col("q"), 4).alias("sroie_precision"), F.round(F.col("b") / F.col("r"), 4).alias("sroie_recall"), F.round(2.0 * F.col("b") / (F.col("q") + F.col("r")), 4).alias("sroie_f1"), F.col("r").alias("reference_words"), F.col("q").alias("predicted_words"))
+
+
+@query()
+def length_bin_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CER in ten equal bins of reference length, with the bins' inclusive bounds; empty bins are left out."""
+    p = _pairs(spark, sf_dir).select(F.length("ref").alias("n"), F.levenshtein("ref", "pred").alias("e"))
+    b = p.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    spot = F.least(F.lit(9), F.floor((F.col("n") - F.col("lo")) * 10.0 / F.greatest(F.lit(1), F.col("hi") - F.col("lo"))))
+    return p.join(F.broadcast(b)).groupBy(spot.cast("bigint").alias("bin")).agg(F.min("n").alias("shortest"), F.max("n").alias("longest"), F.count(F.lit(1)).alias("n_pairs"), F.sum("n").alias("reference_characters"), F.sum("e").alias("edits"), error_rate(F.sum("e"), F.sum("n")).alias("cer"))
+
+
+@query()
+def script_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CER and exact share of each script of the references, where there are two or more."""
+    p = _pairs(spark, sf_dir).select(F.coalesce(main_script("ref"), F.lit("none")).alias("script"), F.length("ref").alias("n"), F.levenshtein("ref", "pred").alias("e"), (F.col("ref") == F.col("pred")).alias("same"))
+    rates = p.groupBy("script").agg(F.count(F.lit(1)).alias("n_pairs"), error_rate(F.sum("e"), F.sum("n")).alias("cer"), F.round(F.avg(F.col("same").cast("double")), 4).alias("exact"))
+    several = rates.agg((F.count(F.lit(1)) > 1).alias("several"))
+    return rates.join(F.broadcast(several)).where("several").drop("several")
+
+
+@query()
+def length_band_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CER of references of 42 to 57 characters, and their share of all edits (the band is the operator)."""
+    p = _pairs(spark, sf_dir).select(F.length("ref").alias("n"), F.levenshtein("ref", "pred").alias("e"))
+    band = F.col("n").between(42, 57)
+    edits = F.sum(F.when(band, F.col("e")).otherwise(0))
+    return p.agg(F.count_if(band).alias("n_pairs"), error_rate(edits, F.sum(F.when(band, F.col("n")).otherwise(0))).alias("cer"), F.round(edits / F.sum("e"), 4).alias("share_of_edits"))
+
+
+@query()
+def voted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text for each line that several responses read: the majority at every place, with its CER and the best single one."""
+    p = _pairs(spark, sf_dir)
+    said = p.join(table(spark, sf_dir, "transcribe_responses").select("response_id", "line_id").distinct(), "response_id")
+    lines = said.groupBy("line_id").agg(F.max("ref").alias("ref"), F.array_sort(F.collect_list(F.struct("response_id", "pred"))).alias("r")).where("size(r) > 1")
+    out = lines.select("line_id", "ref", voted(F.transform("r", lambda x: x["pred"])).alias("text"), F.array_min(F.transform("r", lambda x: F.levenshtein(x["pred"], "ref"))).alias("best_edits"))
+    return out.select("line_id", "text", F.levenshtein("ref", "text").alias("edits"), "best_edits")
+
+
+@query()
+def drawn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the order in which their characters are drawn, where that differs from the order of the text."""
+    lines = table(spark, sf_dir, "release_lines").where("text IS NOT NULL").select("line_id", "text").distinct()
+    return lines.withColumn("d", drawn_column("text")).select("line_id", F.col("d.text").alias("drawn"), F.array_join(F.col("d.order").cast("array<string>"), ",").alias("places")).where("drawn <> text").select("line_id", "drawn", "places")
+
+
+@query(f"""
+SELECT model, round(avg(CAST(nfc_normalize(ref) = nfc_normalize(pred) AS DOUBLE)), 4) AS nfc FROM ({_PAIRS}) GROUP BY 1
+""")
+def nfc_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact share after NFC."""
+    return _pairs(spark, sf_dir).groupBy("model").agg(F.round(F.avg((normal("ref") == normal("pred")).cast("double")), 4).alias("nfc"))
+
+
+@query()
+def bare_match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact share under NFD, without marks, without punctuation, and without both."""
+
+    def bare(column: str, drop: str) -> Column:
+        return F.regexp_replace(normal(column, "NFD"), drop, "")
+
+    rungs = {"nfd": "(?!)", "no_marks": r"\p{Mn}", "no_punctuation": r"\p{P}", "no_both": r"[\p{Mn}\p{P}]"}
+    return _pairs(spark, sf_dir).groupBy("model").agg(*[F.round(F.avg((bare("ref", d) == bare("pred", d)).cast("double")), 4).alias(n) for n, d in rungs.items()])
+
+
 @query(f"""
 SELECT model, round(avg(CAST(ref = pred AS DOUBLE)), 4) AS raw, round(avg(CAST(lower(ref) = lower(pred) AS DOUBLE)), 4) AS caseless, round(avg(CAST(regexp_replace(ref, '[.,;:!?·]', '', 'g') = regexp_replace(pred, '[.,;:!?·]', '', 'g') AS DOUBLE)), 4) AS no_punctuation,
   round(avg(CAST(replace(ref, ' ', '') = replace(pred, ' ', '') AS DOUBLE)), 4) AS no_spaces FROM ({_PAIRS}) GROUP BY 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -93,22 +93,125 @@ def job_states(changes: DataFrame, lease_seconds: float, most: int = 5) -> DataF
     return changes.groupBy("job_id").applyInPandasWithState(step, "job_id string, status string, attempts int", "status string, attempts int", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def upsert_into(path: str, key: str, version: str):  # noqa: ANN201
-    """A ``foreachBatch`` function: each batch becomes a new version folder that holds the newest row of each key.
+def upsert_into(path: str, key: str, version: str, buckets: int = 64):  # noqa: ANN201
+    """A ``foreachBatch`` function: each batch rewrites the buckets of keys it touches, as a new version of each.
 
-    Readers take the highest complete version; a repeated batch writes its own folder again.
+    A bucket's version is its batch's number; ``read_upserted`` takes the newest complete one.  Buckets that a batch
+    doesn't touch are neither read nor written; a repeated batch writes its own folders again; a batch may be the first one.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        out = f"{path}/v={number}"
-        before = spark.read.parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
-        merged = before.unionByName(batch).groupBy(key).agg(F.max(F.struct(version, *[c for c in batch.columns if c not in (key, version)])).alias("r"))
-        merged.select(key, "r.*").select(*batch.columns).write.mode("overwrite").parquet(out)
+        split = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in split.select("bucket").distinct().collect()]
+        before = _newest_buckets(spark, path, set(touched), number)
+        merged = split if before is None else split.unionByName(before.select(*split.columns))
+        rest = [c for c in batch.columns if c not in (key, version)]
+        newest = merged.groupBy("bucket", key).agg(F.max(F.struct(version, *rest)).alias("r")).select("bucket", key, "r.*")
+        newest.select("bucket", *batch.columns).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
     return write
 
 
+def _newest_buckets(spark: SparkSession, path: str, wanted: set[int] | None, before: int | None) -> DataFrame | None:
+    """The newest complete folder of each bucket, of batches before a number."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    newest: dict[int, tuple[int, str]] = {}
+    for batch in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")) or []:
+        folder = batch.getPath().getParent()
+        number = int(folder.getName().partition("=")[2])
+        if before is not None and number >= before:
+            continue
+        for part in fs.listStatus(folder):
+            name = part.getPath().getName()
+            if name.startswith("bucket="):
+                bucket = int(name.partition("=")[2])
+                if wanted is None or bucket in wanted:
+                    newest[bucket] = max(newest.get(bucket, (-1, "")), (number, part.getPath().toString()))
+    if not newest:
+        return None
+    out = None
+    for folder in {f.rpartition("/")[0] for _, f in newest.values()}:
+        own = [f for _, f in newest.values() if f.rpartition("/")[0] == folder]
+        one = spark.read.option("basePath", folder).parquet(*own)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_into`` keeps: the newest row of each key."""
+    found = _newest_buckets(spark, path, None, None)
+    if found is None:
+        raise FileNotFoundError(f"nothing below {path}")
+    return found.drop("bucket")
+
+
+def admit_all(times: list[float], logs: dict[str, list[float]], keys: list[list[str]], window: float, limits: dict[str, int]) -> list[bool]:
+    """Sliding-window logs over several keys: an event is let in if every one of its keys has room, and then counts for all of them."""
+    out = []
+    for t, own in zip(times, keys, strict=True):
+        for k in own:
+            logs[k] = [x for x in logs.get(k, []) if x > t - window]
+        ok = all(len(logs[k]) < limits[k.partition(":")[0]] for k in own)
+        for k in own if ok else ():
+            logs[k].append(t)
+        out.append(ok)
+    return out
+
+
+def refund(log: list[float]) -> list[float]:
+    """A log without its newest admitted time: an attempt that turned out well doesn't count."""
+    return sorted(log)[:-1]
+
+
+def swept(jobs: DataFrame, now: Column, lease: int, running: int, most: int = 5) -> DataFrame:
+    """Jobs after a sweep: claims past their lease and runs past their time go back to pending, or fail on the last attempt.
+
+    ``jobs``: ``status``, ``at`` (of the last sign of life), ``attempts``.  Stale callback claims are ended jobs' business
+    and stay.
+    """
+    age = F.unix_micros(now) - F.unix_micros(F.col("at").cast("timestamp"))
+    stale = ((F.col("status") == "claimed") & (age > lease * 1_000_000)) | ((F.col("status") == "running") & (age > running * 1_000_000))
+    last = F.col("attempts") + 1 >= most
+    return jobs.withColumns({"status": F.when(stale & last, "failed").when(stale, "pending").otherwise(F.col("status")), "attempts": F.col("attempts") + stale.cast("int")})
+
+
+def notify(path: str, most: int = 16):  # noqa: ANN201
+    """A ``foreachBatch`` function: the newest ``most`` changes of each subscriber in a batch, older ones dropped, as JSON rows.
+
+    ``most`` is the length of a subscriber's queue, which is the operator.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        w = Window.partitionBy("subscriber").orderBy(F.desc("at"))
+        batch.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r").write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return write
+
+
+def drain(path: str, deliver):  # noqa: ANN001, ANN201
+    """A ``foreachBatch`` function for an outbox: ``deliver`` (a pandas function of rows to success) is tried, failures are kept.
+
+    Failed rows go to ``path`` with one more attempt, from where the next run reads them again.
+    """
+
+    def attempt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(delivered=deliver(b), attempts=b["attempts"] + 1)
+
+    def write(batch: DataFrame, number: int) -> None:
+        done = batch.mapInPandas(attempt, ", ".join(f"`{n}` {t}" for n, t in batch.dtypes) + ", delivered boolean")
+        done.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def route_counters(requests: DataFrame, at: str, route: str, status: str, value: str, window: str = "1 day", late: str = "90 days") -> DataFrame:
+    """Counts, failures, mean and greatest value of each route and day of a stream; state older than ``late`` is dropped."""
+    w = requests.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), route)
+    return w.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(status) >= 500).alias("failures"), F.avg(value).alias("mean"), F.max(value).alias("most")).select(F.col("w.start").alias("day"), route, "n", "failures", "mean", "most")
+
+
 def age_seconds(now: Column, oldest: Column) -> Column:
     """Age floored at 0; null if there is none."""
     return F.when(oldest.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(oldest)) / 1e6))
