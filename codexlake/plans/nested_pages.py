@@ -74,7 +74,7 @@ def p6_history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("record_id", "position", held("id", "string").alias("line_id"), F.coalesce(held("block_id", "string"), F.lit("")).alias("block_id"), held("order", "bigint").alias("line_order"), held("kind", "string").alias("kind"), held("approved_text", "string").alias("approved_text")).distinct()
 
 
-@query(f"SELECT record_id, json_extract_string(x, '$.block_id') AS block_id, count(*) AS n_lines, count(DISTINCT {_OWN_ID}) AS n_ids FROM (SELECT DISTINCT record_id, x, i FROM ({_STATE_LINES})) WHERE json_extract_string(x, '$.block_id') IS NOT NULL GROUP BY 1, 2")
+@query(f"SELECT record_id, block_id, count(*) AS n_lines, count(DISTINCT line_id) AS n_ids FROM (SELECT DISTINCT record_id, i, json_extract_string(x, '$.block_id') AS block_id, {_OWN_ID} AS line_id FROM ({_STATE_LINES})) WHERE block_id IS NOT NULL GROUP BY 1, 2")
 def p6_history_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of history states with the lines in them."""
     rows, _, _ = history_elements(table(spark, sf_dir, "annotation_history_snapshots"), {"lines"})
