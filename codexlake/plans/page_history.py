@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexlake.operators.snapshots import merkle_diff, number_versions
+from codexlake.plans.catalog import query
 from codexlake.runtime import durable, table
 
 #: Fields of a line that may differ without the line having changed.
@@ -103,7 +104,37 @@ def run_changes(runs: DataFrame, live: DataFrame) -> DataFrame:
     return found.select(F.col("run_id").alias("later_id"), F.expr("substring(row_key, 2)").alias("line_key"), "change_kind")
 
 
+@query()
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = history_changes(table(spark, sf_dir, "annotation_history_snapshots")).withColumn("scope", F.lit("history"))
     run = run_changes(table(spark, sf_dir, "segmentation_runs"), table(spark, sf_dir, "live_lines")).withColumn("scope", F.lit("run"))
     return history.unionByName(run).select("scope", "later_id", "line_key", "change_kind").distinct()
+
+
+_NEWEST = "SELECT part_id, max(struct_pack(created_at := created_at, id := id)).id AS run_id FROM (SELECT coalesce(part_id, '') AS part_id, created_at, id FROM segmentation_runs WHERE id IS NOT NULL) GROUP BY 1"
+
+
+@query(f"""
+WITH n AS ({_NEWEST}), r AS (SELECT DISTINCT n.part_id, n.run_id, l.external_id AS ext, l.points AS points FROM n JOIN (SELECT id, coalesce(part_id, '') AS part_id, unnest(run_lines) AS l FROM segmentation_runs) s ON s.id = n.run_id AND s.part_id = n.part_id WHERE l.external_id IS NOT NULL),
+v AS (SELECT DISTINCT id, coalesce(part_id, '') AS part_id, segmentation_run_id AS run_id, run_external_id AS ext, points FROM live_lines WHERE id IS NOT NULL),
+p AS (SELECT v.part_id, n.run_id, v.id, v.points, r.ext FROM v JOIN n USING (part_id) LEFT JOIN (SELECT DISTINCT part_id, run_id, ext FROM r) r ON r.part_id = v.part_id AND r.run_id = v.run_id AND r.ext = v.ext),
+a AS (SELECT part_id, run_id, ext, count(*) AS k, min(points) AS p FROM r GROUP BY 1, 2, 3), b AS (SELECT part_id, ext, count(*) AS k, min(points) AS p FROM p WHERE ext IS NOT NULL GROUP BY 1, 2)
+SELECT a.run_id AS later_id, a.ext AS line_key, CASE WHEN b.ext IS NULL THEN 'removed' ELSE 'changed' END AS change_kind FROM a LEFT JOIN b ON a.part_id = b.part_id AND a.ext = b.ext WHERE b.ext IS NULL OR a.k <> b.k OR a.p IS DISTINCT FROM b.p
+UNION SELECT run_id, id, 'added' FROM p WHERE ext IS NULL
+""")
+def p1_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``p1_found`` on newest runs against live lines."""
+    return run_changes(table(spark, sf_dir, "segmentation_runs"), table(spark, sf_dir, "live_lines")).select("later_id", "line_key", "change_kind").distinct()
+
+
+@query("""
+WITH s AS (SELECT id, coalesce(part_id, '') AS part, created_at, state FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at, created_at) AS r FROM annotation_history_snapshots WHERE state IS NOT NULL AND id IS NOT NULL) WHERE r = 1),
+v AS (SELECT id, part, row_number() OVER (PARTITION BY part ORDER BY created_at, id) AS v FROM s),
+k AS (SELECT DISTINCT v.part, v.v, json_extract_string(x, '$.id') AS line_key FROM v JOIN (SELECT id, unnest(CAST(json_extract(state, '$.lines') AS JSON[])) AS x FROM s WHERE json_type(state, '$.lines') = 'ARRAY') l USING (id) WHERE json_extract_string(x, '$.id') IS NOT NULL),
+o AS (SELECT v.id AS later_id, k.line_key FROM v JOIN k ON k.part = v.part AND k.v = v.v - 1), n AS (SELECT v.id AS later_id, k.line_key FROM v JOIN k ON k.part = v.part AND k.v = v.v WHERE v.v > 1)
+SELECT later_id, line_key, 'removed' AS change_kind FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT later_id, line_key, 'added' FROM (SELECT * FROM n EXCEPT SELECT * FROM o)
+""")
+def p1_history_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``p1_found`` on lines that came or went between history snapshots."""
+    found = history_changes(table(spark, sf_dir, "annotation_history_snapshots")).where("change_kind <> 'changed'")
+    return found.select("later_id", "line_key", "change_kind").distinct()

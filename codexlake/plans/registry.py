@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from codexlake.plans import corpus, evaluation, layout, nested_pages, operations, page_history, pages, preparation, records  # noqa: F401
-from codexlake.plans.catalog import ORACLES, QUERIES, query
+from codexlake.plans import corpus, evaluation, layout, merges, nested_pages, operations, page_history, pages, preparation, records  # noqa: F401
+from codexlake.plans.catalog import ORACLES, QUERIES
 
-query()(page_history.p1_found)
 
 __all__ = ["ORACLES", "QUERIES"]
