@@ -307,6 +307,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b")).distinct()
 
 
+_SPLIT_SQL = "CASE lower(trim(split)) WHEN 'train' THEN 'train' WHEN 'training' THEN 'train' WHEN 'val' THEN 'val' WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' WHEN 'test' THEN 'test' END"
+SAME_TEXT_SQL = f"""
+WITH r AS (SELECT row_id, {_SPLIT_SQL} AS s, text FROM import_rows WHERE text IS NOT NULL AND row_id IS NOT NULL), t AS (SELECT text, count(*) FILTER (WHERE s = 'train') AS n_train, count(*) FILTER (WHERE s <> 'train') AS n_held FROM r WHERE s IS NOT NULL GROUP BY 1)
+SELECT text, n_train, n_held FROM t WHERE n_train > 0 AND n_held > 0 AND length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= {MIN_LETTERS + 4}
+"""
+
+
+def p4_same_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of 24 letters or more that occur letter for letter in train and in val or test, with their rows on either side.
+
+    The classes come from the operator's links of equal skeletons; a class whose rows differ in spelling gives each spelling
+    that stands on both sides.
+    """
+    rows = table(spark, sf_dir, "import_rows")
+    members, texts = text_classes(rows)
+    both = texts.where("in_train AND in_eval").select("digest")
+    spelled = members.join(both, "digest", "left_semi").join(rows.select("row_id", "text"), "row_id")
+    counts = spelled.groupBy("text").agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") != "train").alias("n_held"))
+    return counts.where((F.col("n_train") > 0) & (F.col("n_held") > 0) & (F.length(F.regexp_replace("text", r"[^\p{L}]", "")) >= MIN_LETTERS + 4))
+
+
 def p4_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap per held-out split and source (the codex in the image reference): pairs, and rows that have any.
 

@@ -125,6 +125,23 @@ def _script(column: str) -> Column:
     return F.coalesce(out, F.lit("none"))
 
 
+_CODICES = r"""
+WITH RECURSIVE seen AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(manuscript), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+  trim(regexp_replace(regexp_replace(regexp_replace(' ' || regexp_replace(regexp_replace(lower(shelfmark), '(\p{L})(\p{N})', '\1 \2', 'g'), '[^\p{L}\p{N}]+', ' ', 'g') || ' ', ' (?:(?:cod|codex|ms|mss|manuscript) )+', ' ', 'g'), ' 0+([0-9])', ' \1', 'g'), ' +', ' ', 'g')) AS shelf FROM release_lines WHERE manuscript IS NOT NULL),
+known AS (SELECT * FROM seen WHERE slug <> ''),
+link AS (SELECT DISTINCT a.slug AS a, b.slug AS b FROM known a JOIN known b ON a.shelf = b.shelf AND a.shelf <> ''),
+reach(a, b) AS (SELECT DISTINCT slug, slug FROM known UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+codex AS (SELECT a AS slug, min(b) AS codex, len(string_split(a, '-')) AS k FROM reach GROUP BY 1)
+"""
+CODICES_SQL = _CODICES + "SELECT codex, count(*) AS n_slugs FROM codex GROUP BY 1"
+P5_SQL = _CODICES.rstrip() + r""",
+r AS (SELECT row_id, CASE lower(trim(split)) WHEN 'train' THEN 'train' WHEN 'training' THEN 'train' WHEN 'val' THEN 'val' WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' WHEN 'test' THEN 'test' END AS s, '-' || regexp_replace(regexp_replace(lower(source_image), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' AS ref FROM import_rows WHERE row_id IS NOT NULL),
+h AS (SELECT row_id, s, arg_max(codex, (k, -instr(ref, '-' || slug || '-'))) AS codex FROM r JOIN codex ON contains(ref, '-' || slug || '-') WHERE s IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT codex FROM h GROUP BY 1 HAVING count(DISTINCT s) > 1)
+SELECT DISTINCT row_id FROM h JOIN t USING (codex)
+"""
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of codices that the delivered splits tear apart."""
     rows = table(spark, sf_dir, "import_rows")
@@ -134,6 +151,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.join(torn, "codex", "left_semi").select("row_id").distinct()
 
 
+def p5_codices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codices of the release lines with the number of slugs they stand under."""
+    found = codices(table(spark, sf_dir, "release_lines"))
+    named = found.groupBy("codex").agg(F.min("slug").alias("name"), F.count(F.lit(1)).alias("n_slugs"))
+    return named.select(F.col("name").alias("codex"), "n_slugs")
+
+
 def p5_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every import row with its codex and a split near 80/10/10 that keeps codices whole.
 

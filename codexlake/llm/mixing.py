@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Mapping
 from functools import lru_cache
 from math import ceil
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,15 +41,24 @@ def _encoding(path: str):  # noqa: ANN202
 
 
 def count_tokens(column: str, tokenizer: str = TOKENIZER) -> Column:
-    """Number of tokens of a text; null stays null, the empty text has none."""
+    """Number of tokens of a text; null stays null, the empty text has none.
+
+    The vocabulary is the file that ``ship`` has sent to the executors, else the one at the same path there.
+    """
 
     def count(texts: pd.Series) -> pd.Series:
-        encode = _encoding(tokenizer).encode_ordinary
+        shipped = SparkFiles.get(os.path.basename(tokenizer))
+        encode = _encoding(shipped if os.path.exists(shipped) else tokenizer).encode_ordinary
         return texts.map(lambda t: len(encode(t)) if t is not None else None).astype("Int64")
 
     return F.pandas_udf(count, "bigint")(column)
 
 
+def ship(spark: SparkSession, tokenizer: str = TOKENIZER) -> None:
+    """Send the vocabulary file to all executors."""
+    spark.sparkContext.addFile(tokenizer)
+
+
 def frame_counts(shares: Mapping[str, float]) -> tuple[int, dict[str, int]]:
     """Slots of a frame and blocks of each source in it, by largest remainder; every source gets at least one."""
     frame = min(MAX_FRAME, max(MIN_FRAME, ceil(1 / min(shares.values()))))
@@ -93,6 +104,7 @@ def largest_total(sizes: Mapping[str, int], targets: Mapping[str, tuple[float, i
 def counted(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id``, ``source``, ``n_tokens`` of the documents whose source has a target."""
     wanted = targets.where("source IS NOT NULL AND target_share > 0").select("source").distinct()
+    ship(docs.sparkSession, tokenizer)
     read = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("source").isNotNull()).select("doc_id", "source", "text")
     return durable(read.join(wanted, "source", "left_semi").select("doc_id", "source", count_tokens("text", tokenizer).alias("n_tokens")).where("n_tokens > 0"))
 

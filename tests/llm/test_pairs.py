@@ -1,13 +1,17 @@
 """Look-alike texts, cross-split duplicates and grouped splits."""
 
+import glob
+import os
 import random
 from collections import defaultdict
 
 import duckdb
+import pytest
 from codexlake.functions.metrics import edit_distance
 from codexlake.llm import cross_split, grouped_split
 from codexlake.llm.characters import consistent_form, letter_skeleton, normalise
 from codexlake.llm.lookalikes import form_of, same_look
+from codexlake.llm.queries import ORACLES, QUERIES
 from pyspark.sql import functions as F
 
 LINES = "line_id string, text string, response_id bigint"
@@ -187,3 +191,13 @@ def test_torn_rows_equal_brute_force(spark, small):
         if s and i in codex:
             splits[codex[i]].add(s)
     assert {r.row_id for r in grouped_split.p5_found(spark, small).collect()} == {i for i, s in read.items() if s and i in codex and len(splits[codex[i]]) > 1}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(name, spark, small):
+    con = duckdb.connect()
+    for path in glob.glob(f"{small}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    found, sql = QUERIES[name](spark, small), con.sql(ORACLES[name])
+    at = [sql.columns.index(c) for c in found.columns]
+    assert sorted(tuple(map(str, r)) for r in found.collect()) == sorted(tuple(str(r[i]) for i in at) for r in sql.fetchall()) != []
