@@ -45,17 +45,19 @@ def _json_type(value: object) -> str:
     return "boolean" if isinstance(value, bool) else "bigint" if isinstance(value, int) and abs(value) < 2**63 else "double" if isinstance(value, float) else "string"
 
 
-def _split_json(value: object) -> tuple[dict[str, object], list[tuple[str, object]]]:
-    """Scalar fields of a JSON value and the elements in it, one level deep."""
+def _split_json(value: object, useful: set[str] | None = None) -> tuple[dict[str, object], list[tuple[str, object]]]:
+    """Scalar fields of a JSON value and the elements in it, one level deep; elements of other than ``useful`` names are left out."""
     fields: dict[str, object] = {}
     children: list[tuple[str, object]] = []
     inside = isinstance(value, list)
     items: Iterable = value.items() if isinstance(value, dict) else ((str(i), v) for i, v in enumerate(value)) if inside else (("value", value),)
     for key, v in items:
         if isinstance(v, dict):
-            children.append((key, v))
+            if useful is None or key in useful:
+                children.append((key, v))
         elif isinstance(v, list):
-            children.extend([("item", v)] if inside else [(key, x) for x in v])
+            if useful is None or (inside and "item" in useful) or key in useful:
+                children.extend([("item", v)] if inside else [(key, x) for x in v])
         elif v is not None:
             fields[key] = v
     return fields, children
@@ -70,14 +72,15 @@ def _local(name: str) -> str:
     return _LOCAL[name]
 
 
-def _split_xml(node: ET.Element) -> tuple[dict[str, object], list[tuple[str, object]]]:
+def _split_xml(node: ET.Element, useful: set[str] | None = None) -> tuple[dict[str, object], list[tuple[str, object]]]:
     """Attributes (``@name``), text (``#text``) and following text (``#tail``) of an XML element, and the elements in it."""
     fields: dict[str, object] = {"@" + _local(k): v for k, v in node.attrib.items()}
     if node.text and not node.text.isspace():
         fields["#text"] = node.text
     if node.tail and not node.tail.isspace():
         fields["#tail"] = node.tail
-    return fields, [(_local(c.tag), c) for c in node if isinstance(c.tag, str)]
+    children = [(_local(c.tag), c) for c in node if isinstance(c.tag, str)]
+    return fields, children if useful is None else [c for c in children if c[0] in useful]
 
 
 def parse_json(text: str) -> dict | None:
@@ -105,7 +108,7 @@ class Kind:
     """A format: how a text is parsed, how a value is split one level deep, and the type of a scalar."""
 
     parse: Callable[[str], object | None]
-    split: Callable[[object], tuple[dict[str, object], list[tuple[str, object]]]]
+    split: Callable[..., tuple[dict[str, object], list[tuple[str, object]]]]
     type_of: Callable[[object], str]
 
 
@@ -119,6 +122,7 @@ def schema_graph(docs: DataFrame, text: str, kind: str) -> Graph:
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         most: dict[str, dict[str, int]] = {}
         types: dict[str, dict[str, int]] = {}
+        known_lists: set[tuple] = set()
         for batch in batches:
             for value in batch["text"]:
                 top = of.parse(value) if value is not None else None
@@ -141,7 +145,14 @@ def schema_graph(docs: DataFrame, text: str, kind: str) -> Graph:
                             kinds[child] = max(n, kinds.get(child, 0))
                         if len(kinds) > MAX_KINDS:
                             most[name] = kinds = {ANY: len(children)}
-                        todo.extend((ANY if ANY in kinds else c, x) for c, x in children)
+                        for c, x in children:
+                            c = ANY if ANY in kinds else c
+                            # Lists of numbers, such as points, are looked at once for each name and pattern of types.
+                            if type(x) is list and (pattern := tuple(map(type, x))) and not {dict, list, str} & set(pattern) and None not in x and -(2**63) < min(x) and max(x) < 2**63:
+                                if (c, pattern) in known_lists:
+                                    continue
+                                known_lists.add((c, pattern))
+                            todo.append((c, x))
         rows = [(p, c, n, True) for p, cs in most.items() for c, n in cs.items()] + [(p, f, t, False) for p, fs in types.items() for f, t in fs.items()]
         yield pd.DataFrame(rows, columns=["parent", "child", "n", "edge"])
 
@@ -237,7 +248,7 @@ def shred(docs: DataFrame, key: str, text: str, kind: str, tables: set[str], kee
                 while todo:
                     name, called, element, position, parent_table, parent_row, via, ancestors = todo.pop()
                     own, number = number, number + 1
-                    first, children = of.split(element)
+                    first, children = of.split(element, None if name in wide else useful)
                     fields = scalars(first)
                     if called is not None:
                         fields["#name"] = called
@@ -257,7 +268,7 @@ def shred(docs: DataFrame, key: str, text: str, kind: str, tables: set[str], kee
                                 nested.append((known, child if known == ANY else None, x, seen[known], name, own, prefix[:-1], around))
                                 seen[known] += 1
                             else:
-                                deeper, below = of.split(x)
+                                deeper, below = of.split(x, None if child in wide else useful)
                                 fields |= {f"{prefix}{child}.{k}": v for k, v in scalars(deeper).items()}
                                 if below:
                                     inner.append((f"{prefix}{child}.", child, below))
