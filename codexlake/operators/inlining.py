@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexlake.runtime import durable, release
+
 #: Kinds of children a parent may have; the names under one that has more are values, and its children are told apart by no name.
 MAX_KINDS = 1_000
 #: Name of the children of such a parent; their own names become the field ``#name``.
@@ -158,7 +160,7 @@ def schema_graph(docs: DataFrame, text: str, kind: str) -> Graph:
 
     found = docs.select(F.col(text).alias("text")).mapInPandas(edges, "parent string, child string, n long, edge boolean")
     widest = F.when(~F.col("edge") & (F.min("n") == 0) & (F.max("n") > 0), 3).otherwise(F.max("n"))
-    summed = found.groupBy("parent", "child", "edge").agg(widest.alias("n"))
+    summed = durable(found.groupBy("parent", "child", "edge").agg(widest.alias("n")))  # small, and read several times
     # A name that partitions found to be a value in different ways is a value; its parent keeps one row.
     wide = summed.groupBy("parent", "edge").agg(F.when((F.count(F.lit(1)) > MAX_KINDS) | (F.max(F.col("child") == ANY)), True).otherwise(False).alias("wide"), F.max("n").alias("top"))
     kept = summed.join(wide, ["parent", "edge"]).select("parent", F.when(F.col("wide"), ANY).otherwise(F.col("child")).alias("child"), "edge", F.when(F.col("wide"), F.when(F.col("edge"), F.greatest("top", F.lit(2))).otherwise(3)).otherwise(F.col("n")).alias("n")).distinct()
@@ -170,6 +172,7 @@ def schema_graph(docs: DataFrame, text: str, kind: str) -> Graph:
             out.edges[r.parent, r.child] = r.n
         else:
             out.fields[r.parent, r.child] = _TYPES[r.n]
+    release(summed)
     return out
 
 
