@@ -50,7 +50,7 @@ SAME_MEANING, MIN_WORDS, MIN_ANSWERS = 0.15, 0.5, 0.5
 PIECE = 400_000
 #: Passages searched for in one reading of the documents; more go block by block.
 BLOCK = 256
-_BITS = 22
+_BITS, _SIEVE = 22, 16
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _FOLD: list[np.ndarray] = []
@@ -296,18 +296,27 @@ def _grown(a: np.ndarray, b: np.ndarray) -> int:
     return int(good[-1]) + 1 if len(good) else 0
 
 
-def share_in_one_place(passage: np.ndarray, order: np.ndarray, keys: np.ndarray, document: np.ndarray, grams: np.ndarray) -> float:
+def sieve_of(keys: np.ndarray) -> np.ndarray:
+    """Table over the first bits of hashes that tells most n-grams a passage hasn't got."""
+    out = np.zeros(1 << _SIEVE, dtype=bool)
+    out[(keys >> np.uint64(64 - _SIEVE)).astype(np.int64)] = True
+    return out
+
+
+def share_in_one_place(passage: np.ndarray, order: np.ndarray, keys: np.ndarray, document: np.ndarray, grams: np.ndarray, sieve: np.ndarray | None = None) -> float:
     """Largest share of the passage's letters that stands in the document in order and in one place.
 
-    ``keys``/``order``: the passage's sorted n-grams and their places.
+    ``keys``/``order``: the passage's sorted n-grams and their places; ``sieve``: their table, for a quick first look.
     """
-    lo = np.searchsorted(keys, grams, side="left")
-    hi = np.searchsorted(keys, grams, side="right")
-    j = np.repeat(np.arange(len(grams)), hi - lo)
+    places = np.arange(len(grams)) if sieve is None else np.flatnonzero(sieve[(grams >> np.uint64(64 - _SIEVE)).astype(np.int64)])
+    lo = np.searchsorted(keys, grams[places], side="left")
+    hi = np.searchsorted(keys, grams[places], side="right")
+    k = np.repeat(np.arange(len(places)), hi - lo)
+    j = places[k]
     if not len(j):
         return 0.0
     step = np.arange(len(j)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-    q = order[lo[j] + step]
+    q = order[lo[k] + step]
     offset = j - q
     by_offset = np.sort(offset)
     best = 0.0
@@ -456,7 +465,7 @@ def _searched(docs: DataFrame, passages: DataFrame, key: str, least: Callable[[S
             def search(batches: Iterator[pd.DataFrame], space: Space = space) -> Iterator[pd.DataFrame]:
                 known, loads, asked = space.known, space.loads(), least(space)
                 overlap = 2 * max(len(x) for x in known.letters)
-                keyed = [(np.argsort(g, kind="stable"), np.sort(g)) for g in known.grams]
+                keyed = [(np.argsort(g, kind="stable"), np.sort(g), sieve_of(g)) for g in known.grams]
                 for batch in batches:
                     rows: list[tuple] = []
                     names, texts = batch["doc_id"].to_numpy(), list(batch["text"])
@@ -483,7 +492,7 @@ def leaked_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -
     """
 
     def judge(known: Passages, item: int, keyed: tuple, letters: np.ndarray, grams: np.ndarray, text: str, cosine: float) -> tuple | None:
-        share = share_in_one_place(known.letters[item], *keyed, letters, grams)
+        share = share_in_one_place(known.letters[item], *keyed[:2], letters, grams, keyed[2])
         return (share,) if share >= MIN_SHARE else None
 
     return _searched(docs, passages, key, lambda space: space.least, judge, "share")
