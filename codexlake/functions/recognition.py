@@ -13,33 +13,45 @@ from pyspark.sql import functions as F
 from codexlake.functions.metrics import align
 
 
+def _runs(labels: Sequence[int] | None, scores: Sequence[float] | None) -> list[tuple[int, int, int, float, int]] | None:
+    if labels is None or scores is None:
+        return None
+    label, score = np.asarray(labels), np.asarray(scores, dtype=float)
+    if not len(label):
+        return []
+    starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+    return [(int(label[a]), int(a), int(b) - 1, float(score[a:b].mean()), int(a + score[a:b].argmin())) for a, b in zip(starts, [*starts[1:], len(label)], strict=True)]
+
+
 def label_runs(labels: str | Column, scores: str | Column) -> Column:
     """Runs of equal labels as ``array<struct<label, start, stop, mean, weakest>>``, with the mean score and the weakest frame.
 
-    JVM-side: a frame begins a run if its label differs from the one before.  Frames count from 0, ``stop`` is inclusive.
+    Frames count from 0, ``stop`` is inclusive; time and space are in proportion to the frames; null stays null.
     """
-    labels, scores = (F.col(c) if isinstance(c, str) else c for c in (labels, scores))
-    frames = F.sequence(F.lit(0), F.size(labels) - 1)
-    begins = F.when(F.size(labels) > 0, F.filter(frames, lambda i: (i == 0) | (F.get(labels, i) != F.get(labels, i - 1)))).otherwise(F.array().cast("array<int>"))
+    names = ("label", "start", "stop", "mean", "weakest")
 
-    def run(start: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get(begins, k + 1), F.size(labels)) - 1
-        own = F.slice(scores, start + 1, stop - start + 1)
-        total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-        weakest = start + F.array_position(own, F.array_min(own)).cast("int") - 1
-        return F.struct(F.get(labels, start).alias("label"), start.alias("start"), stop.alias("stop"), (total / F.size(own)).alias("mean"), weakest.alias("weakest"))
+    def runs(left: pd.Series, right: pd.Series) -> pd.Series:
+        found = [_runs(a, b) for a, b in zip(left, right, strict=True)]
+        return pd.Series([None if f is None else [dict(zip(names, x, strict=True)) for x in f] for f in found], dtype=object)
 
-    return F.transform(begins, run)
+    return F.pandas_udf(runs, "array<struct<label:bigint,start:int,stop:int,mean:double,weakest:int>>")(labels, scores)
 
 
 def decoded(labels: str | Column, scores: str | Column, charset: Sequence[str], blank: int = 0) -> Column:
-    """Greedy decoding: ``struct<text, confidences, mean, least>`` of the runs that aren't blank; nulls of an empty text stay null."""
-    kept = F.filter(label_runs(labels, scores), lambda r: r["label"] != blank)
-    names = F.array(*[F.lit(c) for c in charset])
-    text = F.array_join(F.transform(kept, lambda r: F.coalesce(F.get(names, r["label"] - 1), F.raise_error(F.lit("label outside the character set")).cast("string"))), "")
-    own = F.transform(kept, lambda r: r["mean"])
-    mean = F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.size(own))
-    return F.struct(text.alias("text"), own.alias("confidences"), mean.alias("mean"), F.array_min(own).alias("least"))
+    """Greedy decoding: ``struct<text, confidences, mean, least>`` of the runs that aren't blank; an empty text has no mean.
+
+    A label outside the character set is an error.
+    """
+
+    def texts(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        kept = [[r for r in found if r[0] != blank] if (found := _runs(a, b)) is not None else None for a, b in zip(left, right, strict=True)]
+        if any(not 1 <= r[0] <= len(charset) for k in kept if k for r in k):
+            raise ValueError("label outside the character set")
+        own = [[r[3] for r in k] if k is not None else None for k in kept]
+        text = ["".join(charset[r[0] - 1] for r in k) if k is not None else None for k in kept]
+        return pd.DataFrame({"text": text, "confidences": own, "mean": [float(np.mean(c)) if c else None for c in own], "least": [min(c) if c else None for c in own]})
+
+    return F.pandas_udf(texts, "text string, confidences array<double>, mean double, least double")(labels, scores)
 
 
 def best_rivals(scores: str | Column, k: int = 3) -> Column:
